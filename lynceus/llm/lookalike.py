@@ -1,0 +1 @@
+from ..functions.script import *
