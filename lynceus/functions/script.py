@@ -31,8 +31,8 @@ def clean(text: str) -> str:
 
 
 def _script(c: str) -> str:
-    o = ord(c)
-    if not c.isalpha():
+    o = ord(c[0])
+    if not c[0].isalpha():
         return ""
     if o < 0x250 or 0x1E00 <= o < 0x1F00:
         return "L"
