@@ -138,7 +138,7 @@ for _n, _line in enumerate(NICK.split("\n")):
 FILLER = frozenset("test unknown none null na nil tbd xxx asdf name dummy sample anonymous".split())
 WORD = re.compile(r"[a-z]+")
 SOUND = [(re.compile(a), b) for a, b in (
-    ("sch", "sh"), ("zh", "j"), ("kh", "h"), ("ph", "f"), ("ck", "k"), ("ch", "c"), ("ou", "u"), ("oo", "u"), ("ee", "i"), ("q", "k"), ("w", "v"), ("x", "ks"), ("y", "i"),
+    ("sch", "sh"), ("zh", "j"), ("kh", "h"), ("ph", "f"), ("ck", "k"), ("ch", "c"), ("ou", "u"), ("oo", "u"), ("ee", "i"), ("q", "k"), ("w", "v"), ("y", "i"),
 )]
 
 
