@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .addresses import p4_found
+from .matching import p7_found, p7_matches
 from .mixing import p9_selection, p9_shares
 from .one_form import p5_found
 from .packing import p8_packing, p8_report
@@ -10,7 +11,7 @@ from .shared_spans import p10_coverage, p10_found
 from .spellings import p1_found
 
 QUERIES = {
-    "p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p8_packing": p8_packing, "p8_report": p8_report, "p9_selection": p9_selection, "p9_shares": p9_shares,
+    "p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p7_matches": p7_matches, "p8_packing": p8_packing, "p8_report": p8_report, "p9_selection": p9_selection, "p9_shares": p9_shares,
     "p10_found": p10_found, "p10_coverage": p10_coverage,
 }
 SQL: dict[str, str] = {}
