@@ -15,7 +15,8 @@ from . import similarity as S
 from . import words as W
 from .normalize import affiliation_name, bare_id, digits
 
-ZERO_D = F.lit(0.0)
+def nought() -> Column:
+    return F.lit(0.0)
 
 
 def nothing(c: Column) -> Column:
@@ -39,7 +40,7 @@ def date_score(a: Column, b: Column) -> Column:
     january = (F.least(F.month(a), F.month(b)) == 1) & (F.greatest(F.month(a), F.month(b)) >= 10)
     month = F.when(dm == 0, 1.0).when(dm == 1, 0.9).when(january, 0.7).otherwise(0.3)
     day = F.when(dd == 0, 1.0).when(dd <= 3, 0.95 - 0.05 * dd / 3.0).when(days_alike(F.dayofmonth(a), F.dayofmonth(b)), 0.7).otherwise(0.3)
-    return F.coalesce(0.4 * year + 0.3 * month + 0.3 * day, ZERO_D)
+    return F.coalesce(0.4 * year + 0.3 * month + 0.3 * day, nought())
 
 
 def lives_logical(birth_a: Column, death_a: Column, birth_b: Column, death_b: Column) -> Column:
@@ -52,7 +53,7 @@ def lives_logical(birth_a: Column, death_a: Column, birth_b: Column, death_b: Co
 def dates_result(pairs: list[tuple[Column, Column]], factor: Column | None = None) -> Column:
     """struct(score, matched, fields): mean over the pairs that are both there."""
     n = sum((F.when(a.isNotNull() & b.isNotNull(), 1).otherwise(0) for a, b in pairs), F.lit(0))
-    mean = F.coalesce(F.try_divide(sum((date_score(a, b) for a, b in pairs), ZERO_D), n), ZERO_D)
+    mean = F.coalesce(F.try_divide(sum((date_score(a, b) for a, b in pairs), nought()), n), nought())
     score = mean * factor if factor is not None else mean
     return F.struct(score.alias("score"), (score > 0.7).alias("matched"), n.alias("fields"))
 
@@ -98,14 +99,14 @@ def id_country_score(id_a: Column, country_a: Column, id_b: Column, country_b: C
 
 def gov_ids_with_country(q: Column, i: Column) -> Column:
     all_ = F.flatten(F.transform(q, lambda a: F.transform(i, lambda b: id_country_score(a["identifier"], a["country"], b["identifier"], b["country"]))))
-    return F.coalesce(F.array_max(all_), ZERO_D)
+    return F.coalesce(F.array_max(all_), nought())
 
 
 def weighted_ids(fields: list[tuple[Column, Column, float]]) -> Column:
     """Weights of the identifiers that agree over those that the query has; 0 if it has none."""
-    has = sum((F.when(~nothing(q), w).otherwise(0.0) for q, _, w in fields), ZERO_D)
-    got = sum((F.when(~nothing(q) & F.coalesce(F.lower(q) == F.lower(i), F.lit(False)), w).otherwise(0.0) for q, i, w in fields), ZERO_D)
-    return F.coalesce(F.try_divide(got, has), ZERO_D)
+    has = sum((F.when(~nothing(q), w).otherwise(0.0) for q, _, w in fields), nought())
+    got = sum((F.when(~nothing(q) & F.coalesce(F.lower(q) == F.lower(i), F.lit(False)), w).otherwise(0.0) for q, i, w in fields), nought())
+    return F.coalesce(F.try_divide(got, has), nought())
 
 
 def vessel_ids(q: Column, i: Column) -> Column:
@@ -138,14 +139,14 @@ def contact_score(q: Column, i: Column) -> Column:
     """Mean of equality of the e-mail, phone and fax that both have; 0 without any."""
     both = lambda f: ~nothing(q[f]) & ~nothing(i[f])
     n = sum((F.when(F.coalesce(both(f), F.lit(False)), 1).otherwise(0) for f in ("email", "phone", "fax")), F.lit(0))
-    k = sum((F.when(F.coalesce(both(f) & (F.lower(q[f]) == F.lower(i[f])), F.lit(False)), 1.0).otherwise(0.0) for f in ("email", "phone", "fax")), ZERO_D)
-    return F.coalesce(F.try_divide(k, n), ZERO_D)
+    k = sum((F.when(F.coalesce(both(f) & (F.lower(q[f]) == F.lower(i[f])), F.lit(False)), 1.0).otherwise(0.0) for f in ("email", "phone", "fax")), nought())
+    return F.coalesce(F.try_divide(k, n), nought())
 
 
 def contact_field_score(q: Column, i: Column) -> Column:
     """Matches over the query's values; doubled values of the index count twice."""
     hits = F.aggregate(F.transform(q, lambda a: F.size(F.filter(i, lambda b: F.lower(a) == F.lower(b)))), F.lit(0), lambda x, y: x + y)
-    return F.coalesce(F.try_divide(hits.cast("double"), F.size(q)), ZERO_D)
+    return F.coalesce(F.try_divide(hits.cast("double"), F.size(q)), nought())
 
 
 # ---- addresses, titles, programmes, history: words are scored in Arrow batches
@@ -220,13 +221,13 @@ def affiliation_kind_score(a: Column, b: Column) -> Column:
 
 
 def affiliation_score(name: Column, kind: Column) -> Column:
-    return F.greatest(ZERO_D, F.least(F.lit(1.0), name + F.when(kind > 0.9, 0.15).when(kind > 0.7, 0.08).otherwise(-0.15)))
+    return F.greatest(nought(), F.least(F.lit(1.0), name + F.when(kind > 0.9, 0.15).when(kind > 0.7, 0.08).otherwise(-0.15)))
 
 
 def affiliations_score(scores: Column) -> Column:
     """Mean weighted by the square: sum of cubes over sum of squares."""
-    power = lambda k: F.aggregate(scores, ZERO_D, lambda acc, x: acc + F.pow(x, F.lit(k)))
-    return F.coalesce(F.try_divide(power(3.0), power(2.0)), ZERO_D)
+    power = lambda k: F.aggregate(scores, nought(), lambda acc, x: acc + F.pow(x, F.lit(k)))
+    return F.coalesce(F.try_divide(power(3.0), power(2.0)), nought())
 
 
 affiliation_text = affiliation_name
@@ -235,7 +236,7 @@ affiliation_text = affiliation_name
 def programs_score(q: Column, i: Column) -> Column:
     """Share of the query's programmes that the other has, less a fifth if only one is secondary."""
     hits = F.size(F.filter(q["programs"], lambda a: F.exists(i["programs"], lambda b: F.lower(a) == F.lower(b)))).cast("double")
-    share = F.coalesce(F.try_divide(hits, F.size(q["programs"])), ZERO_D)
+    share = F.coalesce(F.try_divide(hits, F.size(q["programs"])), nought())
     return F.when(q["secondary"].eqNullSafe(i["secondary"]), share).otherwise(share * 0.8)
 
 
@@ -250,7 +251,7 @@ def history_score(q: pd.Series, i: pd.Series) -> pd.Series:
 def supporting_score(programs: Column, history: Column) -> Column:
     """Mean of those that aren't nought."""
     n = F.when(programs > 0, 1).otherwise(0) + F.when(history > 0, 1).otherwise(0)
-    return F.coalesce(F.try_divide(programs + history, n), ZERO_D)
+    return F.coalesce(F.try_divide(programs + history, n), nought())
 
 
 # ---- totals
@@ -266,11 +267,11 @@ def factor_total(factors: dict[str, Column], weights: Weights = WEIGHTS, source_
     w = {"name": weights.name, "address": weights.address, "gov_id": weights.critical_id, "crypto": weights.critical_id, "contact": weights.critical_id, "date": weights.supporting}
     best = F.greatest(factors["name"], factors["alt_names"])
     exact = F.greatest(*[factors[f] for f in (critical or ["gov_id", "crypto", "contact"])]) >= weights.exact
-    over = F.lit(w["name"]) + sum((F.when(factors[f] > 0, w[f]).otherwise(0.0) for f in w if f != "name"), ZERO_D)
-    score = best * w["name"] + sum((factors[f] * w[f] for f in w if f != "name"), ZERO_D)
+    over = F.lit(w["name"]) + sum((F.when(factors[f] > 0, w[f]).otherwise(0.0) for f in w if f != "name"), nought())
+    score = best * w["name"] + sum((factors[f] * w[f] for f in w if f != "name"), nought())
     if source_id_differs is not None:
         over = over + F.when(source_id_differs, weights.critical_id).otherwise(0.0)
-    return F.when(exact, 0.7 + 0.3 * best).otherwise(F.coalesce(F.try_divide(score, over), ZERO_D))
+    return F.when(exact, 0.7 + 0.3 * best).otherwise(F.coalesce(F.try_divide(score, over), nought()))
 
 
 def name_address_total(primary: Column, address: Column, weights: Weights = WEIGHTS) -> Column:
@@ -283,8 +284,8 @@ def positive_mean(scores: Column, default: dict[str, float] | None = None) -> Co
     w = default or {"name": 40.0, "address": 10.0, "gov_id": 15.0, "crypto": 15.0, "contact": 15.0, "date": 5.0}
     weight = F.create_map(*[F.lit(x) for kv in w.items() for x in kv])
     kept = F.filter(F.map_entries(scores), lambda e: (e["value"] > 0) & weight[e["key"]].isNotNull())
-    part = F.aggregate(kept, F.struct(ZERO_D.alias("s"), ZERO_D.alias("w")), lambda a, e: F.struct((a["s"] + e["value"] * weight[e["key"]]).alias("s"), (a["w"] + weight[e["key"]]).alias("w")))
-    return F.coalesce(F.try_divide(part["s"], part["w"]), ZERO_D)
+    part = F.aggregate(kept, F.struct(nought().alias("s"), nought().alias("w")), lambda a, e: F.struct((a["s"] + e["value"] * weight[e["key"]]).alias("s"), (a["w"] + weight[e["key"]]).alias("w")))
+    return F.coalesce(F.try_divide(part["s"], part["w"]), nought())
 
 
 def quality_adjusted(score: Column, query_words: Column, matched_words: Column, exact: Column, historical: Column) -> Column:

@@ -57,7 +57,7 @@ def unmarked(c: Column) -> Column:
 
 
 def split_clean(c: Column, pattern: str) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), pattern), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), pattern), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def ofac_type(c: Column) -> Column:
