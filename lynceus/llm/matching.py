@@ -207,6 +207,21 @@ def scored_pairs(entities: DataFrame) -> DataFrame:
     return pairs.select("a", "b", name.alias("name_level"), ident.alias("id_level"), birth_level("born_a", "born_b").alias("birth_level"))
 
 
+def copy_classes(entities: DataFrame) -> DataFrame:
+    """(record_id, first, evident): rows with the same names, identifiers, birth date and type, the least of them, and whether an identifier
+    or a birth date speaks for their being one."""
+    base = entities.select("record_id", "birth_date", type_class(F.col("entity_type")).alias("type"))
+    held = names_of(entities).select("record_id", "name").distinct()
+    names = held.join(name_vectors(held), "name").groupBy("record_id").agg(F.array_sort(F.collect_set(F.xxhash64("v1", "v2", "trade"))).alias("names"))  # bounded by one row
+    ids = id_vectors(entities).groupBy("record_id").agg(F.array_sort(F.collect_set("identifier")).alias("ids"))
+    all_ = base.join(names, "record_id").join(ids, "record_id", "left")
+    signed = all_.select("record_id", F.xxhash64("names", "ids", "birth_date", "type").alias("s"), (F.col("ids").isNotNull() | F.col("birth_date").isNotNull()).alias("evident"))
+    first = signed.groupBy("s").agg(F.min("record_id").alias("first"))
+    mine = signed.join(first, "s").select("record_id", "first", "evident")
+    rest = base.join(mine, "record_id", "left_anti").select("record_id", F.col("record_id").alias("first"), F.lit(False).alias("evident"))
+    return mine.union(rest)
+
+
 def matched(entities: DataFrame, least: float = 0.5) -> DataFrame:
     """(record_id_a, record_id_b, confidence): pairs of rows of different lists that describe the same entity.
 
@@ -215,7 +230,10 @@ def matched(entities: DataFrame, least: float = 0.5) -> DataFrame:
     the least confidence of its entity.
     """
     rows = entities.dropDuplicates(["record_id"])
-    pairs = written(scored_pairs(rows))
+    # rows that read the same in every field are one class; only its first row is compared, so a third of all rows
+    # being copies of one another costs no pairs
+    copies = written(copy_classes(rows))
+    pairs = written(scored_pairs(rows.join(copies.where("record_id = first").select("record_id"), "record_id")))
     levels = ["name_level", "id_level", "birth_level"]
     counts = [((r.name_level, r.id_level, r.birth_level), r.n) for r in pairs.groupBy(*levels).agg(F.count("*").alias("n")).collect()]  # at most 64 patterns
     chance = calibrated(counts)
@@ -226,15 +244,17 @@ def matched(entities: DataFrame, least: float = 0.5) -> DataFrame:
     support = F.coalesce((F.col("birth_level") > 0) & (F.col("name_level") > 0), F.lit(False)) | F.coalesce((F.col("id_level") == 2) & (F.coalesce("birth_level", F.lit(1)) > 0), F.lit(False))
     against = F.coalesce(F.col("birth_level") == 0, F.lit(False)) & F.coalesce(F.col("id_level") < 2, F.lit(True)) & (F.col("name_level") > 0)
     judged = written(judged.withColumn("kind", F.when(support & (F.col("confidence") >= least), "strong").when(against, "against").when((F.col("name_level") > 0) & (F.col("confidence") >= least), "weak")).where("kind IS NOT NULL"))
+    alike = copies.where("record_id <> first")
+    judged_copies = alike.where("NOT evident").select(F.col("first").alias("a"), F.col("record_id").alias("b"), F.lit("weak").alias("kind"))
     # rows of one list under one id of that list are deliveries of one record
     own = rows.where("source_id IS NOT NULL").select("record_id", F.xxhash64("source_list", list_id(F.col("source_id"))).alias("k"))
     first = own.groupBy("k").agg(F.min("record_id").alias("x"))
     repeats = own.join(first, "k").where("record_id <> x").select("x", F.col("record_id").alias("y"))
-    strong = judged.where("kind = 'strong'").select(F.col("a").alias("x"), F.col("b").alias("y")).union(repeats)
+    strong = judged.where("kind = 'strong'").select(F.col("a").alias("x"), F.col("b").alias("y")).union(repeats).union(alike.where("evident").select(F.col("first").alias("x"), F.col("record_id").alias("y")))
     one = written(components(rows.select("record_id"), strong, "record_id"))
     # by a name alone: groups of entities that share a name and hold no contradiction become one
     ra, rb = one.select(F.col("record_id").alias("a"), F.col("root").alias("x")), one.select(F.col("record_id").alias("b"), F.col("root").alias("y"))
-    between = written(judged.where("kind <> 'strong'").join(ra, "a").join(rb, "b").where("x <> y").select("x", "y", "kind").distinct())
+    between = written(judged.where("kind <> 'strong'").select("a", "b", "kind").union(judged_copies).join(ra, "a").join(rb, "b").where("x <> y").select("x", "y", "kind").distinct())
     wide = components(one.select(F.col("root").alias("record_id")).distinct(), between.where("kind = 'weak'").select("x", "y"), "record_id")
     contradicted = between.where("kind = 'against'").join(wide.select(F.col("record_id").alias("x"), F.col("root").alias("wx")), "x").join(wide.select(F.col("record_id").alias("y"), F.col("root").alias("wy")), "y").where("wx = wy").select(F.col("wx").alias("root")).distinct()
     wide = wide.join(contradicted.withColumn("bad", F.lit(True)), "root", "left").select("record_id", F.when(F.col("bad"), F.col("record_id")).otherwise(F.col("root")).alias("entity"))
