@@ -5,8 +5,8 @@ streamed past it once a block, partition by partition: no row is ever paired wit
 cut before scoring by bounds that lose nothing:
 
 * names with as many words and the same set of sounds score 1, whatever else;
-* else 0.6 T + 0.4 F must reach the threshold with T at most 1, so Jaro on the whole names must reach (m - 0.6) / 0.4, and Jaro is at most
-  (c / n + c / m + 1) / 3 with c common letters, counted for a whole batch at once.
+* else 0.6 T + 0.4 F must reach the threshold. Jaro is at most (c / n + c / m + 1) / 3 with c common letters, which bounds F, and T is a mean
+  of word scores, so at most the largest bound of any word of one name with any of the other. Letters are counted for whole batches.
 
 The bounds hold for settings whose boosts and penalties are within [0, 1]; for others every pair is scored.
 """
@@ -64,10 +64,46 @@ def letter_counts(names: list[str]) -> np.ndarray:
     return out
 
 
-def least_whole(min_match: float, words_a: np.ndarray, words_b: np.ndarray) -> np.ndarray:
-    """The least Jaro on whole names that can still reach the threshold: by the blend, or by the boost of single words."""
-    single = (words_a[:, None] == 1) & (words_b[None, :] == 1)
-    return np.where(single, (min_match - 0.4) / 0.6, (min_match - 0.6) / 0.4)
+class Words:
+    """The different words of some names, with what bounds of their scores need."""
+
+    def __init__(self, names: list[str], prefix: int) -> None:
+        self.at: dict[str, int] = {}
+        split = [[self.at.setdefault(w, len(self.at)) for w in n.split()] for n in names]
+        most = max((len(x) for x in split), default=1)
+        self.single = np.array([len(x) == 1 for x in split], dtype=bool)
+        self.index = np.array([x + x[:1] * (most - len(x)) for x in split], dtype=np.int32).reshape(len(names), most)  # padded with the first word
+        words = list(self.at)
+        self.letters = letter_counts(words)
+        self.length = np.array([len(w) for w in words], dtype=np.float32)
+        self.start = np.array([[ord(c) for c in w[: max(1, prefix)].ljust(max(1, prefix), "\0")] for w in words], dtype=np.int32)
+
+
+def common_letters(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(a), len(b)), dtype=np.int16)
+    for k in range(a.shape[1]):
+        x, y = a[:, k], b[:, k]
+        i, j = np.flatnonzero(x), np.flatnonzero(y)
+        if len(i) and len(j):
+            out[np.ix_(i, j)] += np.minimum(x[i, None], y[None, j])
+    return out
+
+
+def word_bounds(a: Words, b: Words, config: Similarity) -> np.ndarray:
+    """Upper bounds of word scores of all words of one side with all of the other."""
+    n, m = a.length[:, None], b.length[None, :]
+    common = common_letters(a.letters, b.letters)
+    bound = np.where(common > 0, (common / n + common / m + 1) / 3, 0).astype(np.float32)
+    shared = np.zeros(bound.shape, dtype=np.float32)
+    same = np.ones(bound.shape, dtype=bool)
+    for k in range(config.prefix):
+        same &= (a.start[:, k, None] == b.start[None, :, k]) & (a.start[:, k, None] > 0)
+        shared += same
+    bound += shared * np.float32(0.1) * (1 - bound)
+    ratio = np.minimum(n, m) / np.maximum(n, m)
+    bound *= np.where(ratio < config.length_cutoff, 1 - (1 - ratio) * config.length_penalty, 1)
+    bound *= np.where(a.start[:, 0, None] != b.start[None, :, 0], config.letter_penalty, 1)
+    return bound
 
 
 class Block:
@@ -76,7 +112,7 @@ class Block:
     def __init__(self, rows: list[tuple], config: Similarity, min_match: float) -> None:
         self.rows, self.config, self.least = rows, config, min_match
         self.names = [r[1] for r in rows]
-        self.words = np.array([len(n.split()) for n in self.names])
+        self.words = Words(self.names, config.prefix)
         self.length = np.array([max(1, len(n)) for n in self.names], dtype=np.float32)
         self.letters = letter_counts(self.names)
         self.sounds: dict[tuple, list[int]] = {}
@@ -93,18 +129,21 @@ class Block:
         if not prunable(self.config) or self.least <= 0.6:
             yield from ((a, b) for b in range(len(names)) for a in range(len(self.names)))
             return
-        words = np.array([len(n.split()) for n in names])
-        length = np.array([max(1, len(n)) for n in names], dtype=np.float32)
-        letters = letter_counts(names)
         for lo in range(0, len(names), 256):
-            common = np.zeros((len(self.names), len(names[lo : lo + 256])), dtype=np.int16)
-            for k in range(letters.shape[1]):
-                common += np.minimum(self.letters[:, k : k + 1], letters[None, lo : lo + 256, k])
-            bound = (common / self.length[:, None] + common / length[None, lo : lo + 256] + 1) / 3
-            could = bound >= least_whole(self.least, self.words, words[lo : lo + 256]) - 1e-6
+            some = names[lo : lo + 256]
+            words = Words(some, self.config.prefix)
+            length = np.array([max(1, len(n)) for n in some], dtype=np.float32)
+            common = common_letters(self.letters, letter_counts(some))
+            whole = (common / self.length[:, None] + common / length[None, :] + 1) / 3
+            bounds = word_bounds(self.words, words, self.config)
+            # for every word of the block the nearest word of each name, then for every name of the block the nearest of its words
+            nearest = bounds[:, words.index].max(axis=2)
+            word = nearest[self.words.index].max(axis=1)
+            single = self.words.single[:, None] & words.single[None, :]
+            could = (0.6 * word + 0.4 * whole >= self.least - 1e-5) | (single & (word >= self.least - 1e-5)) | (whole >= self.least - 1e-5)
             for b in range(could.shape[1]):
-                could[self.sounds.get(self.sound(names[lo + b]), []), b] = True
-            yield from ((a, lo + b) for a, b in zip(*np.nonzero(could), strict=True))
+                could[self.sounds.get(self.sound(some[b]), []), b] = True
+            yield from ((int(a), lo + int(b)) for a, b in zip(*np.nonzero(could), strict=True))
 
 
 def name_scores(asked: DataFrame, index_names: DataFrame, min_match: float, config: Similarity = DEFAULT, block_names: int = BLOCK_NAMES) -> DataFrame:
@@ -119,7 +158,8 @@ def name_scores(asked: DataFrame, index_names: DataFrame, min_match: float, conf
     n = asked.count()
     blocks = max(1, -(-n // block_names))
     asked = written(asked.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks))))
-    held = index_names.where("text <> ''")
+    # names are spread evenly, equal ones together
+    held = index_names.where("text <> ''").repartition(F.col("text"))
     out = None
     for k in range(blocks):
         rows = [tuple(r) for r in asked.where(F.col("block") == k).select("q", "text", "source_f", "type_f").collect()]  # about block_names rows

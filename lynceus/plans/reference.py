@@ -298,6 +298,15 @@ def batch_screen(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("name", "status", F.explode_outer("matches").alias("m")).select("name", "status", F.col("m.rank").alias("rank"), F.col("m.name").alias("match"), _r(F.col("m.score")).alias("score"))
 
 
+def screen_items(spark: SparkSession, folder: str) -> DataFrame:
+    """All search items screened against all entities, ten matches each from 0.88 on."""
+    e = table(spark, folder, "entities")
+    index = written(as_entities(e, index_pos=F.col("record_id"), id=F.col("record_id").cast("string"), name=F.col("name"), entity_type=F.upper("entity_type"), source=F.col("source_list"), alt_names=F.col("alt_names"), remarks=F.col("remarks")))
+    req = table(spark, folder, "search_items").select(F.col("item_id").alias("item_pos"), "request_id", "name", "entity_type", F.col("source_list").alias("source"))
+    out = search.batch(req, index, most=None)
+    return out.select(F.col("item_pos").alias("item_id"), "status", F.explode_outer("matches").alias("m")).select("item_id", "status", F.col("m.rank").alias("rank"), F.col("m.entity_id").alias("entity_id"), _r(F.col("m.score")).alias("score"))
+
+
 def same_sound_names(spark: SparkSession, folder: str) -> DataFrame:
     """Part names that score one by sound alone: as many words, the same set of keys, an equi-join."""
     p = table(spark, folder, "part").select("p_name").distinct().select("p_name", F.size(N.tokens(N.plain(F.col("p_name")))).alias("n"), N.sound_set(N.plain(F.col("p_name"))).alias("k"))
@@ -311,6 +320,12 @@ def word_jaro(spark: SparkSession, folder: str) -> DataFrame:
     return p.select("p_name", "p_type", _r(S.jaro_column("p_name", "p_type")).alias("jaro"), _r(S.name_score_column("p_name", "p_type")).alias("score"), _r(S.text_score_column("p_name", "p_type")).alias("text_score"), _r(S.words_score_zero("p_name", "p_type")).alias("zero_score"), _r(S.favoured_column("p_name", "p_type")).alias("favoured"))
 
 
+def jaro_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Jaro of each part's name with its type and brand."""
+    p = table(spark, folder, "part").select("p_name", F.lower(F.concat_ws(" ", "p_type", "p_brand")).alias("other")).distinct()
+    return p.select("p_name", "other", _r(S.jaro_column("p_name", "other")).alias("jaro"))
+
+
 def prepared_fields(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "entities")
     p = prepared(F.col("name"), F.col("alt_names"), F.col("addresses"))
@@ -345,8 +360,8 @@ QUERIES = {
     "country_languages": country_languages, "titles": titles, "affiliation_names": affiliation_names, "sound_keys": sound_keys, "first_letter_fit": first_letter_fit, "source_and_type_filters": source_and_type_filters,
     "feed_types": feed_types, "program_lists": program_lists, "list_info": list_info, "source_rollup": source_rollup, "date_scores": date_scores, "exact_id_matches": exact_id_matches, "asset_ids": asset_ids,
     "weighted_totals": weighted_totals, "score_adjustments": score_adjustments, "mean_scores": mean_scores, "program_scores": program_scores, "batch_statistics": batch_statistics, "merge_groups": merge_groups,
-    "stable_topk": stable_topk, "trace_summaries": trace_summaries, "top_phases": top_phases, "score_texts": score_texts, "name_search": name_search, "batch_screen": batch_screen, "same_sound_names": same_sound_names,
-    "word_jaro": word_jaro, "prepared_fields": prepared_fields, "entity_breakdowns": entity_breakdowns,
+    "stable_topk": stable_topk, "trace_summaries": trace_summaries, "top_phases": top_phases, "score_texts": score_texts, "name_search": name_search, "batch_screen": batch_screen, "screen_items": screen_items, "same_sound_names": same_sound_names,
+    "word_jaro": word_jaro, "jaro_scores": jaro_scores, "prepared_fields": prepared_fields, "entity_breakdowns": entity_breakdowns,
 }
 
 _L = "length(name) < 30"
@@ -406,6 +421,11 @@ SQL = {
     "trace_summaries": """WITH e AS (SELECT user_id AS session_id, CASE WHEN event_type = 'click' THEN 'AGGREGATION' ELSE event_type END AS phase, floor(abs(value))::bigint AS d FROM events), p AS (SELECT session_id, phase, count(*) AS n, floor(avg(d)) AS m, sum(d) AS t FROM e GROUP BY ALL)
       SELECT session_id, sum(CASE WHEN phase = 'AGGREGATION' THEN n ELSE 0 END)::bigint AS entities_scored, CASE WHEN max(m) > 10 THEN arg_max(phase, row(m, phase)) END AS slowest_phase, sum(t)::bigint AS total_ms, arg_max(phase, row(t, phase)) AS longest_phase FROM p GROUP BY session_id""",
     "top_phases": "SELECT * FROM (SELECT user_id AS session_id, event_type AS phase, count(*) AS n, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) AS rank FROM events GROUP BY user_id, event_type) WHERE rank <= 3",
+    "jaro_scores": """WITH p AS (SELECT DISTINCT p_name, lower(p_type || ' ' || p_brand) AS other FROM part), w AS (SELECT *, length(p_name) AS n, length(other) AS m, greatest(greatest(length(p_name), length(other)) // 2 - 1, 0) AS r FROM p),
+      s AS (SELECT *, list_reduce(list_transform(range(1, n + 1), lambda i: i::varchar), lambda s, i: coalesce((list_transform(list_filter(range(greatest(1, i::bigint - r), least(m, i::bigint + r) + 1), lambda j: substr(other, j, 1) = substr(p_name, i::bigint, 1) AND substr(s, j, 1) = '0'),
+        lambda j: substr(s, 1, j - 1) || '1' || substr(s, j + 1) || substr(p_name, i::bigint, 1)))[1], s), repeat('0', m)) AS s FROM w),
+      k AS (SELECT *, substr(s, m + 1) AS mine, array_to_string(list_transform(list_filter(range(1, m + 1), lambda j: substr(s, j, 1) = '1'), lambda j: substr(other, j, 1)), '') AS theirs FROM s)
+      SELECT p_name, other, round(CASE WHEN mine = '' THEN 0.0::double ELSE (length(mine) / n::double + length(mine) / m::double + (length(mine) - len(list_filter(range(1, length(mine) + 1), lambda j: substr(mine, j, 1) <> substr(theirs, j, 1))) / 2.0::double) / length(mine)) / 3.0::double END, 6) AS jaro FROM k""",
     "same_sound_names": f"""WITH p AS (SELECT p_name, len(string_split(p_name, ' ')) AS n, list_sort(list_distinct(list_transform(string_split(lower(p_name), ' '), lambda w: {_sound_sql('w')}))) AS k FROM (SELECT DISTINCT p_name FROM part))
       SELECT a.p_name AS name_a, b.p_name AS name_b FROM p a JOIN p b ON a.n = b.n AND a.k = b.k AND a.p_name <= b.p_name""",
 }
