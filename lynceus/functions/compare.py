@@ -40,7 +40,7 @@ def date_score(a: Column, b: Column) -> Column:
     january = (F.least(F.month(a), F.month(b)) == 1) & (F.greatest(F.month(a), F.month(b)) >= 10)
     month = F.when(dm == 0, 1.0).when(dm == 1, 0.9).when(january, 0.7).otherwise(0.3)
     day = F.when(dd == 0, 1.0).when(dd <= 3, 0.95 - 0.05 * dd / 3.0).when(days_alike(F.dayofmonth(a), F.dayofmonth(b)), 0.7).otherwise(0.3)
-    return F.coalesce(0.4 * year + 0.3 * month + 0.3 * day, nought())
+    return F.when(a.isNull() | b.isNull(), 0.0).otherwise(0.4 * year + 0.3 * month + 0.3 * day)
 
 
 def lives_logical(birth_a: Column, death_a: Column, birth_b: Column, death_b: Column) -> Column:

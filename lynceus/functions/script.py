@@ -17,7 +17,7 @@ LOOK_LATIN = {
     # Greek capitals
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
     # Greek small letters
-    "ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j", "ρ": "p",
+    "ο": "o", "ν": "v", "ϳ": "j", "ρ": "p",
 }
 # Characters that have no width of their own and can be ignored.
 IGNORABLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ]")
