@@ -62,6 +62,8 @@ yemen, ye, yem, republic of yemen"""
 COUNTRY_OF = {x.strip(): line.split(",")[0] for line in COUNTRIES.split("\n") for x in line.split(",")}
 UNIT = re.compile(r"\b(?:suite|ste|flat|apt|apartment|office|off|floor|fl|unit|room|rm)\b\.?\s*(?:no\b\.?|#)?\s*\d+[a-z]?\b|\b\d+(?:st|nd|rd|th)\s+(?:floor|fl)\b")
 NUMBER_SIGN = re.compile(r"\bn(?:[º°]|o\b|r\b|um\b)\.?\s*(?=\d)|#\s*(?=\d)|[º°]")
+#: No word that is typed is longer; of longer strings no deletions are listed, their ends link them.
+LONG = 64
 MARKERS = frozenset(("", "n a", "na", "unknown", "none", "null", "0", "not available"))
 
 
@@ -123,10 +125,10 @@ def expanded(addresses: DataFrame, key: str) -> DataFrame:
 
 
 def shorter(word: Column) -> Column:
-    """The word and the word with any one letter deleted."""
+    """The word and the word with any one letter deleted; of a word of more than LONG letters only the word itself."""
     n = F.length(word)
     cut = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.concat(F.substring(word, F.lit(1), k - 1), F.substring(word, k + 1, n)))
-    return F.array_distinct(F.concat(F.array(word), F.when(n > 3, cut).otherwise(F.array().cast("array<string>"))))
+    return F.array_distinct(F.concat(F.array(word), F.when((n > 3) & (n <= LONG), cut).otherwise(F.array().cast("array<string>"))))
 
 
 def combinations_of(number: Column, street: Column, city: Column) -> Column:
@@ -140,7 +142,8 @@ def near(a: str, b: str, loose: int = 0) -> Column:
     """Few edits for their length: 2 from five letters on, 1 from four."""
     least = F.least(F.length(a), F.length(b))
     allowed = F.when(least >= 5, 2 + loose).when(least >= 4, 1 + loose).otherwise(0)
-    return (F.col(a) == F.col(b)) | (F.levenshtein(a, b) <= allowed)
+    d = F.levenshtein(a, b, 3)  # -1 beyond 3, found without comparing long words in full
+    return (F.col(a) == F.col(b)) | ((d >= 0) & (d <= allowed))
 
 
 def agree(a: str, b: str) -> Column:

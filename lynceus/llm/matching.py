@@ -241,9 +241,11 @@ def matched(entities: DataFrame, least: float = 0.5) -> DataFrame:
     scale = spark.createDataFrame([(*p, float(c)) for p, c in chance.items()], "name_level int, id_level int, birth_level int, confidence double")
     same = [pairs[c].eqNullSafe(scale[c]) for c in levels]
     judged = pairs.join(F.broadcast(scale), same[0] & same[1] & same[2]).select("a", "b", *[pairs[c] for c in levels], "confidence")
-    support = F.coalesce((F.col("birth_level") > 0) & (F.col("name_level") > 0), F.lit(False)) | F.coalesce((F.col("id_level") == 2) & (F.coalesce("birth_level", F.lit(1)) > 0), F.lit(False))
+    # an equal identifier that no birth date speaks against is evidence of its own, whatever the counts say of its pattern
+    same_id = F.coalesce((F.col("id_level") == 2) & (F.coalesce("birth_level", F.lit(1)) > 0), F.lit(False))
+    same_birth = F.coalesce((F.col("birth_level") > 0) & (F.col("name_level") > 0), F.lit(False)) & (F.col("confidence") >= least)
     against = F.coalesce(F.col("birth_level") == 0, F.lit(False)) & F.coalesce(F.col("id_level") < 2, F.lit(True)) & (F.col("name_level") > 0)
-    judged = written(judged.withColumn("kind", F.when(support & (F.col("confidence") >= least), "strong").when(against, "against").when((F.col("name_level") > 0) & (F.col("confidence") >= least), "weak")).where("kind IS NOT NULL"))
+    judged = written(judged.withColumn("kind", F.when(same_id | same_birth, "strong").when(against, "against").when((F.col("name_level") > 0) & (F.col("confidence") >= least), "weak")).where("kind IS NOT NULL"))
     alike = copies.where("record_id <> first")
     judged_copies = alike.where("NOT evident").select(F.col("first").alias("a"), F.col("record_id").alias("b"), F.lit("weak").alias("kind"))
     # rows of one list under one id of that list are deliveries of one record
