@@ -14,7 +14,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import table, written
+from ..session import spread, table, written
 from .tokens import sized
 
 STEPS = 60
@@ -99,7 +99,7 @@ def share_report(selection: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def _sized(spark: SparkSession, folder: str) -> DataFrame:
-    return written(sized(table(spark, folder, "documents"), ["doc_id", "source"]))
+    return written(sized(spread(table(spark, folder, "documents").select("doc_id", "source", "text")), ["doc_id", "source"]))
 
 
 def p9_selection(spark: SparkSession, folder: str) -> DataFrame:

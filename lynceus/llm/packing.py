@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table, written
+from ..session import spread, table, width, written
 from .tokens import TOKENIZERS, sized
 
 GROUP_ITEMS = 4096
@@ -107,7 +107,8 @@ def packed(items: DataFrame, settings: DataFrame, key: str = "doc_id", size: str
         return pd.DataFrame(out, columns=["setting_id", "group_no", "container_no", key, "piece_no", "token_from", "n_tokens"])
 
     grouped = rows.withColumn("_group", F.pmod(F.xxhash64("_key", "_size"), F.lit(groups)).cast("int"))
-    return grouped.groupBy("_group").applyInPandas(fill, schema)
+    # few bytes but much work: a stated number of tasks isn't coalesced
+    return grouped.repartition(min(groups, width(spark)), "_group").groupBy("_group").applyInPandas(fill, schema)
 
 
 def fill_report(content: DataFrame, settings: DataFrame) -> DataFrame:
@@ -118,7 +119,7 @@ def fill_report(content: DataFrame, settings: DataFrame) -> DataFrame:
 
 def p8_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every text of documents in the containers of each pack setting."""
-    items = written(sized(table(spark, folder, "documents"), ["doc_id"], TOKENIZERS))
+    items = written(sized(spread(table(spark, folder, "documents").select("doc_id", "text")), ["doc_id"], TOKENIZERS))
     return packed(items, table(spark, folder, "pack_settings"))
 
 

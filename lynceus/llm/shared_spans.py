@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import table, written
+from ..session import spread, table, written
 
 MIN_CHARS = 240
 K = 120
@@ -123,7 +123,7 @@ def anchor_table(documents: DataFrame, key: str, text: str, min_chars: int, k: i
                 own, pos, h = anchors(texts, min_chars, k)
                 yield pd.DataFrame({"h": h.view(np.int64), "_key": np.asarray(ids)[own], "pos": pos.astype(np.int32)})
 
-    rows = documents.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    rows = spread(documents.select(F.col(key).alias("_key"), F.col(text).alias("_text")))
     return rows.mapInPandas(find, f"h long, _key {documents.schema[key].dataType.simpleString()}, pos int")
 
 
