@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import spread
+
 MIN_SHARE = 1 / 4000
 ROUNDS = 3
 LETTER_BITS = 4.2
@@ -186,7 +188,7 @@ def packed_values(rows: DataFrame, key: str, fields: list[str], lexicon: dict[st
         listed = [r[0] for r in frame.where(F.col(frame.columns[0]).isNotNull()).distinct().limit(int(1 / MIN_SHARE) + 1).collect()]
         known[f] = listed if len(listed) <= 1 / MIN_SHARE else []
     # a third of all rows may hold one text: equal texts of a batch are handled once, and counts are summed before the shuffle
-    pairs = rows.select(F.col(key).alias("_key"), *[F.col(f).cast("string").alias(f"f{k}") for k, f in enumerate(fields)])
+    pairs = spread(rows.select(F.col(key).alias("_key"), *[F.col(f).cast("string").alias(f"f{k}") for k, f in enumerate(fields)]))
     names = dict(enumerate(fields))
     codes: dict[str, Codes] | None = None
 

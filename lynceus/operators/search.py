@@ -23,9 +23,10 @@ from pyspark.sql import functions as F
 from ..config import BATCH_LEAST_MATCH, BATCH_LIMIT, BATCH_MOST, DEFAULT, BadRequest, Similarity
 from ..functions import similarity as S
 from ..functions.normalize import plain
-from ..session import written
+from ..session import width, written
 
 BLOCK_NAMES = 2000
+CHUNK_NAMES = 1024
 LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
 
 
@@ -80,12 +81,15 @@ class Words:
 
 
 def common_letters(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of the lesser counts, letter by letter, for all rows of one with all rows of the other."""
+    kind = np.uint8 if max(a.max(initial=0), b.max(initial=0)) < 256 else np.int16
+    x, y = np.ascontiguousarray(a.T.astype(kind)), np.ascontiguousarray(b.T.astype(kind))
     out = np.zeros((len(a), len(b)), dtype=np.int16)
-    for k in range(a.shape[1]):
-        x, y = a[:, k], b[:, k]
-        i, j = np.flatnonzero(x), np.flatnonzero(y)
-        if len(i) and len(j):
-            out[np.ix_(i, j)] += np.minimum(x[i, None], y[None, j])
+    least = np.empty((len(a), len(b)), dtype=kind)
+    for k in range(len(x)):
+        if x[k].any() and y[k].any():
+            np.minimum(x[k][:, None], y[k][None, :], out=least)
+            out += least
     return out
 
 
@@ -129,21 +133,32 @@ class Block:
         if not prunable(self.config) or self.least <= 0.6:
             yield from ((a, b) for b in range(len(names)) for a in range(len(self.names)))
             return
-        for lo in range(0, len(names), 256):
-            some = names[lo : lo + 256]
+        most = 0.6 if self.least > 0.6 else 0.0
+        for lo in range(0, len(names), CHUNK_NAMES):
+            some = names[lo : lo + CHUNK_NAMES]
             words = Words(some, self.config.prefix)
             length = np.array([max(1, len(n)) for n in some], dtype=np.float32)
-            common = common_letters(self.letters, letter_counts(some))
-            whole = (common / self.length[:, None] + common / length[None, :] + 1) / 3
-            bounds = word_bounds(self.words, words, self.config)
-            # for every word of the block the nearest word of each name, then for every name of the block the nearest of its words
-            nearest = bounds[:, words.index].max(axis=2)
-            word = nearest[self.words.index].max(axis=1)
+            whole = (common_letters(self.letters, letter_counts(some)) / self.length[:, None] + 0).astype(np.float32)
+            whole += whole * (self.length[:, None] / length[None, :])
+            whole = (whole + 1) / 3
             single = self.words.single[:, None] & words.single[None, :]
-            could = (0.6 * word + 0.4 * whole >= self.least - 1e-5) | (single & (word >= self.least - 1e-5)) | (whole >= self.least - 1e-5)
-            for b in range(could.shape[1]):
-                could[self.sounds.get(self.sound(some[b]), []), b] = True
-            yield from ((int(a), lo + int(b)) for a, b in zip(*np.nonzero(could), strict=True))
+            # no word score exceeds 1: pairs whose whole names can't make up for the rest are out before words are looked at
+            a, b = np.nonzero((0.4 * whole >= self.least - most - 1e-5) | single)
+            bounds = word_bounds(self.words, words, self.config)
+            word = np.zeros(len(a), dtype=np.float32)
+            for i in range(self.words.index.shape[1]):
+                for j in range(words.index.shape[1]):
+                    np.maximum(word, bounds[self.words.index[a, i], words.index[b, j]], out=word)
+            part = whole[a, b]
+            keep = (0.6 * word + 0.4 * part >= self.least - 1e-5) | (single[a, b] & (word >= self.least - 1e-5)) | (part >= self.least - 1e-5)
+            kept = set()
+            for x, y, top in zip(a[keep].tolist(), b[keep].tolist(), word[keep].tolist(), strict=True):
+                # Jaro on the whole names is one word's work; with the bound of the words it settles most pairs
+                if single[x, y] or 0.4 * (f := S.jaro(self.names[x], some[y])) + 0.6 * max(top, f) >= self.least - 1e-5:
+                    kept.add((x, y))
+            for k, n in enumerate(some):
+                kept.update((x, k) for x in self.sounds.get(self.sound(n), ()))
+            yield from ((x, lo + y) for x, y in sorted(kept))
 
 
 def name_scores(asked: DataFrame, index_names: DataFrame, min_match: float, config: Similarity = DEFAULT, block_names: int = BLOCK_NAMES) -> DataFrame:
@@ -158,8 +173,8 @@ def name_scores(asked: DataFrame, index_names: DataFrame, min_match: float, conf
     n = asked.count()
     blocks = max(1, -(-n // block_names))
     asked = written(asked.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks))))
-    # names are spread evenly, equal ones together
-    held = index_names.where("text <> ''").repartition(F.col("text"))
+    # names are spread evenly, equal ones together; a stated number is not coalesced for being few bytes
+    held = index_names.where("text <> ''").repartition(width(spark), "text")
     out = None
     for k in range(blocks):
         rows = [tuple(r) for r in asked.where(F.col("block") == k).select("q", "text", "source_f", "type_f").collect()]  # about block_names rows

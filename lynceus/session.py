@@ -42,5 +42,17 @@ def written(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def width(spark: SparkSession) -> int:
+    """Tasks that keep all cores busy: the cores there are, or the shuffle partitions that the session asks for if those are more."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over enough tasks for work in Python. A scan that has fewer tasks than there are cores is small, so moving it costs
+    little; any larger one stays as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
