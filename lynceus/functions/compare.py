@@ -214,9 +214,12 @@ def group_of(kind: Column) -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[F.lower(kind)], F.lit(""))
 
 
+def tidy_kind(c: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9\\s]", ""), "\\s+", " "))
+
+
 def affiliation_kind_score(a: Column, b: Column) -> Column:
-    tidy = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9\\s]", ""), "\\s+", " "))
-    x, y = tidy(a), tidy(b)
+    x, y = tidy_kind(a), tidy_kind(b)
     return F.when(x == y, 1.0).when((group_of(x) != "") & (group_of(x) == group_of(y)), 0.8).otherwise(0.0)
 
 
@@ -311,8 +314,9 @@ def close_enough(score: Column) -> Column:
 
 
 def field_count(e: dict[str, Column]) -> Column:
-    """How many of the named fields are there: texts that aren't empty, lists that have elements."""
-    return sum((F.when(F.coalesce(~nothing(c) if k.startswith("t_") else F.size(c) > 0, F.lit(False)), 1).otherwise(0) for k, c in e.items()), F.lit(0))
+    """How many of the named fields are there: ``t_`` texts that aren't empty, ``l_`` lists that have elements, others that aren't null."""
+    there = lambda k, c: ~nothing(c) if k.startswith("t_") else F.size(c) > 0 if k.startswith("l_") else c.isNotNull()
+    return sum((F.when(F.coalesce(there(k, c), F.lit(False)), 1).otherwise(0) for k, c in e.items()), F.lit(0))
 
 
 def coverage(pieces: Column, available: Column) -> Column:
@@ -322,8 +326,64 @@ def coverage(pieces: Column, available: Column) -> Column:
 
 
 def importance(pieces: Column) -> Column:
-    """struct(has_name, has_id, has_address, has_critical, required) over pieces with weight and fields."""
+    """struct(has_name, has_id, has_address, has_critical, required) over pieces that have weight and fields."""
     real = F.filter(pieces, lambda p: (p["weight"] > 0) & (p["fields"] > 0))
-    has = lambda *ks: F.exists(real, lambda p: p["kind"].isin(*ks))
+    hit = lambda test: F.exists(real, lambda p: p["matched"] & test(p))
     required = F.aggregate(F.filter(real, lambda p: p["required"]), F.lit(0), lambda a, p: a + p["fields"])
-    return F.struct(has("name").alias("has_name"), has("identifiers", "gov_ids").alias("has_id"), has("address").alias("has_address"), F.exists(real, lambda p: p["exact"]).alias("has_critical"), required.alias("required"))
+    return F.struct(
+        hit(lambda p: p["kind"] == "name").alias("has_name"), hit(lambda p: p["exact"] & p["kind"].isin("identifiers", "gov-ids-exact")).alias("has_id"), hit(lambda p: p["kind"] == "address").alias("has_address"),
+        hit(lambda p: p["exact"]).alias("has_critical"), required.alias("required"),
+    )
+
+
+def best_title(q: list[str] | None, i: list[str] | None, stop: float = 2.0) -> float:
+    """The best pair of titles; with ``stop`` the first that exceeds it."""
+    best = 0.0
+    for a in q if q is not None else []:
+        for b in i if i is not None else []:
+            best = max(best, title_pair_score(a or "", b or ""))
+            if best > stop:
+                return best
+    return best
+
+
+@F.pandas_udf(T.DoubleType())
+def title_list_score(q: pd.Series, i: pd.Series) -> pd.Series:
+    return pd.Series([best_title(a, b) for a, b in zip(q, i, strict=True)], dtype="float64")
+
+
+@F.pandas_udf(T.DoubleType())
+def first_good_title(q: pd.Series, i: pd.Series) -> pd.Series:
+    return pd.Series([best_title(a, b, 0.92) for a, b in zip(q, i, strict=True)], dtype="float64")
+
+
+def read_affiliations(c: Column) -> Column:
+    """Affiliations with normalised names and kinds, and the group of the kind."""
+    return F.transform(c, lambda a: F.struct(affiliation_name(a["entity_name"]).alias("name"), tidy_kind(a["type"]).alias("kind"), group_of(tidy_kind(a["type"])).alias("family")))
+
+
+def best_affiliations(asked: list | None, held: list | None) -> list[tuple[float, float, float, bool]]:
+    """(name, kind, final, exact) of the best of each affiliation asked, by final score, then by kind; those whose name scores nothing are dropped."""
+    found = []
+    for a in asked if asked is not None else []:
+        best = (0.0, 0.0, 0.0, False)
+        for b in held if held is not None else []:
+            if a["name"] and b["name"]:
+                n = S.words_score(a["name"].split(), b["name"].split(), ZERO)
+                kind = 1.0 if a["kind"] == b["kind"] else 0.8 if a["family"] and a["family"] == b["family"] else 0.0
+                final = max(0.0, min(1.0, n + (0.15 if kind > 0.9 else 0.08 if kind > 0.7 else -0.15)))
+                if (final, kind) > (best[2], best[1]):
+                    best = (n, kind, final, n > 0.95 and kind > 0.9)
+        if best[0] > 0:
+            found.append(best)
+    return found
+
+
+@F.pandas_udf(T.DoubleType())
+def affiliation_list_score(q: pd.Series, i: pd.Series) -> pd.Series:
+    """Square-weighted mean of the best matches of two lists (read_affiliations); 0 without any."""
+    out = []
+    for asked, held in zip(q, i, strict=True):
+        s = [x[2] for x in best_affiliations(asked, held)]
+        out.append(sum(x**3 for x in s) / sum(x**2 for x in s) if any(s) else 0.0)
+    return pd.Series(out, dtype="float64")

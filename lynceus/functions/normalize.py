@@ -54,12 +54,11 @@ def digits(c: Column) -> Column:
 
 def without_stopwords(c: Column, language: Column | str = "en") -> Column:
     """Words that are no stopwords of the language; an unknown language reads as English."""
-    lang = F.lit(language) if isinstance(language, str) else language
-    lists = {k: F.array(*[F.lit(w) for w in v.split()]) for k, v in W.STOPWORDS.items()}
-    chosen = lists["en"]
-    for k, v in lists.items():
-        if k != "en":
-            chosen = F.when(lang == k, v).otherwise(chosen)
+    if isinstance(language, str):
+        chosen = F.array(*[F.lit(w) for w in W.STOPWORDS.get(language, W.STOPWORDS["en"]).split()])
+    else:  # a constant map, folded once
+        lists = F.create_map(*[x for k, v in W.STOPWORDS.items() for x in (F.lit(k), F.array(*[F.lit(w) for w in v.split()]))])
+        chosen = F.coalesce(lists[language], lists[F.lit("en")])
     return F.array_join(F.filter(tokens(c), lambda w: ~F.array_contains(chosen, F.lower(w))), " ")
 
 

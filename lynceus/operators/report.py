@@ -25,6 +25,37 @@ def explained(b: Column) -> Column:
     return F.when(b.isNull(), "No score breakdown available").when(F.size(parts) == 0, "No significant matches found").otherwise(text)
 
 
+def short_explained(b: Column) -> Column:
+    """A breakdown in one line, headed by its quality."""
+    names = {"name": "Name", "alt_names": "Alt Names", "address": "Address", "gov_id": "Gov ID"}
+    parts = F.array_compact(F.array(*[F.when(b[k] > 0, F.concat(F.lit(f"{v} "), percent(b[k]), F.lit("%"))) for k, v in names.items()]))
+    none = F.concat(quality(b["total"]), F.lit(" match ("), F.format_string("%.0f", b["total"] * 100), F.lit("%)"))
+    return F.when(b.isNull(), "No scoring data available").when(F.size(parts) == 0, none).otherwise(F.concat(quality(b["total"]), F.lit(" match: "), F.array_join(parts, ", ")))
+
+
+def debug_text(query: Column, index: Column, b: Column) -> Column:
+    """The scores of a pair, one a line."""
+    head = F.format_string("=== Debug Similarity ===\nQuery: %s (%s)\nIndex: %s (%s)\n\nScore Components:\n", query["name"], query["entity_type"], index["name"], index["entity_type"])
+    lines = {"Name Score:": "name", "Alt Names:": "alt_names", "Gov ID Score:": "gov_id", "Crypto Score:": "crypto", "Address Score:": "address", "Contact Score:": "contact", "Date Score:": "date"}
+    body = F.concat(*[F.format_string(f"  {k:<18}%.4f\n", b[v]) for k, v in lines.items()])
+    return F.concat(head, body, F.format_string("\nFinal Score: %.4f\nMatch: %s (threshold 0.5)\n\n", b["total"], b["total"] > 0.5))
+
+
+def report_summary(events: DataFrame, breakdowns: DataFrame) -> DataFrame:
+    """Per session: entities scored, the last breakdown's total as average, highest and lowest score, contributions above nought, time by phase.
+
+    events: (session_id, phase, duration_ms); breakdowns: (session_id, breakdown), one row a session.
+    """
+    times = events.groupBy("session_id", "phase").agg(F.sum("duration_ms").alias("ms"), F.count("*").alias("n"))
+    per = times.groupBy("session_id").agg(
+        F.sum(F.when(F.col("phase") == "AGGREGATION", F.col("n")).otherwise(0)).alias("entities_scored"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("phase", "ms")))).alias("phase_ms"), F.max_by("phase", F.struct("ms", "phase")).alias("slowest_phase"),
+    )
+    b = F.col("breakdown")
+    total = F.coalesce(b["total"], F.lit(0.0))
+    shares = F.map_filter(F.create_map(*[x for k in PARTS for x in (F.lit(k), b[k])]), lambda _, v: v > 0)
+    return per.join(breakdowns, "session_id", "left").select("session_id", "entities_scored", total.alias("average_score"), total.alias("highest_score"), total.alias("lowest_score"), shares.alias("contributions"), "phase_ms", "slowest_phase")
+
+
 def insights(b: Column, duration_ms: Column) -> Column:
     """What stands out in a breakdown, as a list of sentences."""
     strong = sum((F.when(b[k] > 0.85, 1).otherwise(0) for k in ("name", "alt_names", "address", "gov_id")), F.lit(0))

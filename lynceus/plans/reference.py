@@ -350,6 +350,21 @@ def entity_breakdowns(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(F.col("q.index_pos").alias("record_id_a"), F.col("i.index_pos").alias("record_id_b"), *[_r(F.col(f"breakdown.{f}")).alias(f) for f in [*scoring.FACTORS, "total"]])
 
 
+def entity_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """All comparisons of pairs of records of one list that share their source id as it is written, with coverage and importance."""
+    from ..operators.prepare import with_prepared
+
+    e = table(spark, folder, "entities")
+    key = e.where("source_id IS NOT NULL").select(F.col("record_id").alias("index_pos"), "source_list", F.col("source_id").alias("k"))
+    i = with_prepared(_as_index(e))
+    wide = written(key.join(i.drop("source_id"), "index_pos").select("source_list", "k", F.struct(*[F.lit(None).cast("string").alias(c) if c == "source_id" else F.col(c) for c in i.columns]).alias("e")))
+    pairs = wide.select("source_list", "k", F.col("e").alias("q")).join(wide.select("source_list", "k", F.col("e").alias("i")), ["source_list", "k"]).where("q.index_pos < i.index_pos")
+    out = scoring.with_pieces(pairs)
+    return out.select(F.col("q.index_pos").alias("record_id_a"), F.col("i.index_pos").alias("record_id_b"), F.explode("pieces").alias("p"), F.col("coverage.ratio").alias("coverage"), "importance").select(
+        "record_id_a", "record_id_b", "p.kind", _r(F.col("p.score")).alias("score"), "p.fields", "p.matched", "p.exact", _r(F.col("coverage")).alias("coverage"), "importance.has_name", "importance.required"
+    )
+
+
 _TOK = "list_filter(string_split({x}, ' '), lambda w: w <> '')"
 _TITLES = "|".join(t.replace(" ", "\\s") for t in W.COMPANY_TITLES)
 _EXP = {w: full for w, full in W.TITLE_WORDS.items()}
@@ -361,7 +376,7 @@ QUERIES = {
     "feed_types": feed_types, "program_lists": program_lists, "list_info": list_info, "source_rollup": source_rollup, "date_scores": date_scores, "exact_id_matches": exact_id_matches, "asset_ids": asset_ids,
     "weighted_totals": weighted_totals, "score_adjustments": score_adjustments, "mean_scores": mean_scores, "program_scores": program_scores, "batch_statistics": batch_statistics, "merge_groups": merge_groups,
     "stable_topk": stable_topk, "trace_summaries": trace_summaries, "top_phases": top_phases, "score_texts": score_texts, "name_search": name_search, "batch_screen": batch_screen, "screen_items": screen_items, "same_sound_names": same_sound_names,
-    "word_jaro": word_jaro, "jaro_scores": jaro_scores, "prepared_fields": prepared_fields, "entity_breakdowns": entity_breakdowns,
+    "word_jaro": word_jaro, "jaro_scores": jaro_scores, "prepared_fields": prepared_fields, "entity_breakdowns": entity_breakdowns, "entity_pieces": entity_pieces,
 }
 
 _L = "length(name) < 30"
