@@ -24,6 +24,10 @@ from pyspark.sql import types as T
 from ..session import spread
 
 MIN_SHARE = 1 / 4000
+#: A whole value has a code of its own if it is frequent; rarer ones are coded by their words.
+WHOLE_SHARE = 1 / 500
+#: What is seen fewer times is no code, in small tables too.
+LEAST_SEEN = 5
 ROUNDS = 3
 LETTER_BITS = 4.2
 # The delimiters, as patterns that also take the white space around them.
@@ -141,7 +145,8 @@ class Codes:
 
     ESCAPE = 8.0
 
-    def __init__(self, weights: dict[tuple[str, str], float], totals: dict[str, float]) -> None:
+    def __init__(self, weights: dict[tuple[str, str], float], totals: dict[str, float], closed: frozenset[str] = frozenset()) -> None:
+        self.closed = closed  # where a field's values are listed, others are rare
         self.bits = {(kind, k): -math.log2(w / max(totals.get(kind, 0), w, 1e-9)) for (kind, k), w in weights.items() if w > 0}
 
     def word(self, kind: str, w: str, signs: str) -> float:
@@ -152,6 +157,8 @@ class Codes:
     def value(self, v: str) -> float:
         cost = sum(self.word("in" if k else "first", w, signs) for k, (w, signs) in enumerate(words_of(v)))
         whole = self.bits.get(("whole", v))
+        if self.closed and v not in self.closed:
+            return 2 * self.ESCAPE + cost
         return min(cost, 1 + whole) if whole is not None else cost
 
     def field(self, text: str, dialect: tuple[tuple[str, ...], bool]) -> float:
@@ -159,7 +166,7 @@ class Codes:
         if values is None:
             return math.inf
         delimiters, quoted = dialect
-        return 3.0 * len(delimiters) + 4.0 * (len(delimiters) > 1) + quoted + sum(self.value(v) + 1 + math.log2(len(delimiters) + 1) for v in values)
+        return 3.0 * len(delimiters) + quoted + sum(self.value(v) + 1 + math.log2(len(delimiters) + 1) for v in values)
 
 
 def first_guess(text: str) -> list[str]:
@@ -179,8 +186,8 @@ def best(text: str, codes: Codes) -> list[str]:
 def packed_values(rows: DataFrame, key: str, fields: list[str], lexicon: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, at_least: int = 2) -> DataFrame:
     """(key, field_name, pos, value_text): one row a value of every field that holds ``at_least`` values, pos from 1.
 
-    lexicon: for a field, a one-column frame of values that are codes of their own; it is used only if it has at most
-    1 / MIN_SHARE rows. Null, blank and marker fields have no values; repeated rows give repeated results; an empty table
+    lexicon: for a field, a one-column frame of the values it can have, each a code of its own, others being rare; it is used only if
+    it has at most 1 / MIN_SHARE rows. Null, blank and marker fields have no values; repeated rows give repeated results; an empty table
     gives an empty result; further columns are ignored. Long texts are parsed whole.
     """
     known: dict[str, list[str]] = {}
@@ -217,13 +224,13 @@ def packed_values(rows: DataFrame, key: str, fields: list[str], lexicon: dict[st
         if not totals:
             codes = {f: Codes({}, {}) for f in fields}
             break
-        floor = F.create_map(*[F.lit(x) for f, t in totals.items() for k, w in t.items() for x in (f"{f} {k}", w * MIN_SHARE)])
+        floor = F.create_map(*[F.lit(x) for f, t in totals.items() for k, w in t.items() for x in (f"{f} {k}", max(LEAST_SEEN, w * (WHOLE_SHARE if k == "whole" else MIN_SHARE)))])
         kept = sums.where("kind <> 'all'").where(F.col("w") >= floor[F.concat_ws(" ", "f", "kind")]).collect()  # at most 1 / MIN_SHARE of a kind and field
         codes = {}
         for f in fields:
             own = totals.get(f, {})
             listed = {("whole", v): max(own.get("whole", 0) / 50, 1.0) for v in known.get(f, [])}
-            codes[f] = Codes({(r.kind, r.k): r.w for r in kept if r.f == f} | listed, own)
+            codes[f] = Codes({(r.kind, r.k): r.w for r in kept if r.f == f} | listed, own, frozenset(known.get(f, [])))
     final = codes
 
     def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
