@@ -131,18 +131,23 @@ def shorter(word: Column) -> Column:
     return F.array_distinct(F.concat(F.array(word), F.when((n > 3) & (n <= LONG), cut).otherwise(F.array().cast("array<string>"))))
 
 
-def combinations_of(number: Column, street: Column, city: Column) -> Column:
+def combinations_of(number: Column, street: Column, city: Column, postal: Column) -> Column:
     """Hashes of component combinations of one form."""
     streets = F.transform(shorter(street), lambda s: F.xxhash64(F.lit("street"), number, s))
     there = F.array(F.xxhash64(F.lit("start"), number, city, F.substring(street, 1, 3)), F.xxhash64(F.lit("end"), number, city, F.substring(street, -3, 3)))
-    return F.concat(streets, F.when(city != "", there).otherwise(F.array().cast("array<long>")))
+    none = F.array().cast("array<long>")
+    coded = F.array(F.xxhash64(F.lit("postal"), number, postal))
+    return F.concat(streets, F.when(city != "", there).otherwise(none), F.when(postal != "", coded).otherwise(none))
 
 
-def near(a: str, b: str, loose: int = 0) -> Column:
-    """Few edits for their length: 2 from five letters on, 1 from four."""
+def near(a: str, b: str, sure: Column | None = None) -> Column:
+    """Few edits for their length, a swap of neighbours being two: 2 from five letters on, 1 from four; where the place is sure by other
+    components, 4 from eight letters on, 3 from five, 2 from four."""
     least = F.least(F.length(a), F.length(b))
-    allowed = F.when(least >= 5, 2 + loose).when(least >= 4, 1 + loose).otherwise(0)
-    d = F.levenshtein(a, b, 3)  # -1 beyond 3, found without comparing long words in full
+    allowed = F.when(least >= 5, 2).when(least >= 4, 1).otherwise(0)
+    if sure is not None:
+        allowed = F.when(sure, F.when(least >= 8, 4).when(least >= 5, 3).when(least >= 4, 2).otherwise(0)).otherwise(allowed)
+    d = F.levenshtein(a, b, 4)  # -1 beyond 4, found without comparing long words in full
     return (F.col(a) == F.col(b)) | ((d >= 0) & (d <= allowed))
 
 
@@ -161,13 +166,16 @@ def same_building(addresses: DataFrame, key: str = "address_id") -> DataFrame:
     forms = written(forms.withColumn("form", F.xxhash64(*parts)))
     members = forms.select("form", key).distinct()
     kinds = forms.dropDuplicates(["form"]).select("form", *parts)
-    keyed = kinds.withColumn("hash", F.explode(F.array_distinct(combinations_of(F.col("number"), F.col("street"), F.col("city")))))
+    keyed = kinds.withColumn("hash", F.explode(F.array_distinct(combinations_of(F.col("number"), F.col("street"), F.col("city"), F.col("postal")))))
     a = keyed.select("hash", *[F.col(c).alias(f"{c}_a") for c in ("form", *parts)])
     b = keyed.select("hash", *[F.col(c).alias(f"{c}_b") for c in ("form", *parts)])
     place = agree("postal_a", "postal_b") & agree("state_a", "state_b")
-    town = F.when((F.col("city_a") != "") & (F.col("city_b") != ""), near("city_a", "city_b", 1)).otherwise(place)
+    one_code = (F.col("postal_a") != "") & (F.col("postal_a") == F.col("postal_b"))
+    one_town = (F.col("city_a") != "") & (F.col("city_a") == F.col("city_b"))
+    street = F.col("street_a") == F.col("street_b")
+    town = F.when((F.col("city_a") != "") & (F.col("city_b") != ""), (street & one_code) | near("city_a", "city_b", street | one_code)).otherwise(place)
     types = (F.size("types_a") == 0) | (F.size("types_b") == 0) | F.arrays_overlap("types_a", "types_b")
-    fits = (F.col("number_a") == F.col("number_b")) & types & agree("country_a", "country_b") & near("street_a", "street_b") & town
+    fits = (F.col("number_a") == F.col("number_b")) & types & agree("country_a", "country_b") & near("street_a", "street_b", one_code | one_town) & town
     pairs = a.join(b, "hash").where(F.col("form_a") < F.col("form_b")).where(fits).select("form_a", "form_b").distinct()
     pairs = written(pairs.union(kinds.select(F.col("form").alias("form_a"), F.col("form").alias("form_b"))))
     left = members.select(F.col("form").alias("form_a"), F.col(key).alias("x"))
