@@ -39,9 +39,23 @@ def written(df: DataFrame, partitions: int | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/lynceus-{uuid.uuid4().hex}"
     (df if partitions is None else df.coalesce(partitions)).write.option("compression", "zstd").parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that this application wrote to the shared folder, once all results that read them are consumed."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+    return len(paths)
+
+
 def width(spark: SparkSession) -> int:
     """Tasks that keep all cores busy: the cores there are, or the shuffle partitions that the session asks for if those are more."""
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))

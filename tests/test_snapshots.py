@@ -78,3 +78,14 @@ def test_packed_values(spark):
     got = {(r.id, r.field_name, r.pos): r.value_text for r in packed_values(df, "id", ["remarks", "codes"]).collect()}
     assert got == want
     assert packed_values(df.limit(0), "id", ["remarks"]).count() == 0
+
+
+def test_shared_folder(spark):
+    import os
+
+    from lynceus.session import shared_folder, written
+
+    df = written(spark.range(10))
+    assert df.count() == 10
+    folder = shared_folder(spark).replace("file://", "")
+    assert any(x.startswith("lynceus-") for x in os.listdir(folder))
