@@ -66,4 +66,4 @@ def same_look(text: str | None) -> str:
     """Form that is equal for texts that differ only in letter case, white space and look-alike characters."""
     if text is None:
         return ""
-    return "".join(unicodedata.normalize("NFC", fold_token(t)).casefold() for t in clean(text).split(" "))
+    return unicodedata.normalize("NFKC", "".join(fold_token(t).casefold() for t in clean(text).split(" ")))

@@ -70,7 +70,16 @@ def test_country_names(spark):
     assert got == {"IR": "Iran", "deu": "Germany", "France": "France", "UK": "United Kingdom", "Narnia": "Narnia", "": "", None: ""}
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(max_size=30))
-def test_same_look_is_stable(text):
-    assert same_look(same_look(text)) == same_look(text)
+LETTERS = "aekoprBHÉéüñłаеорВНкдяοΑΝΣ ｒＡ.,-'\u200b\u00ad\u00a0\u3000"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(LETTERS, max_size=30))
+def test_same_look_ignores_spacing(text):
+    once = same_look(text)
+    assert same_look(text.replace(" ", "  ")) == same_look(f" {text}\u200b ") == once
+
+
+def test_same_look():
+    assert same_look("Klededеs Gebrogre") == same_look("KLEDEDES  gebrogre") == same_look("Ｋlede\u200bdes Gebrogre")
+    assert same_look("ВАСЯ") == same_look("вася") != same_look("BACR") and same_look("Mér") != same_look("Mer") and same_look(None) == ""
