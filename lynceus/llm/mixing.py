@@ -4,7 +4,8 @@ Each document has a rate, its expected number of copies. Rates stay as near as c
 rate while each source's tokens meet its target: the solution is an exponential tilt, rate = min(cap, base * exp(lambda *
 tokens)), with one dual variable a source. The convex dual is solved by Newton steps, each one aggregation over a
 table of (source, tokens) counts; a step that leaves the bracket of its variable is replaced by a bisection.
-Rates become copies by systematic rounding within buckets sorted by size.
+Rates become copies by systematic rounding within buckets sorted by size; what a few long documents then miss of a source's tokens is
+made up by single copies of shorter ones, an equal part in each bucket.
 """
 
 from __future__ import annotations
@@ -76,6 +77,8 @@ def mixed(documents: DataFrame, targets: DataFrame, key: str = "doc_id", total:
     rows = documents.select(F.col(key), "source", F.col("n_tokens").cast("long").alias("n_tokens")).where("n_tokens > 0")
     sizes = written(rows.groupBy("source", "n_tokens").agg(F.count("*").alias("n")))
     state, _ = balanced_rates(sizes, targets, total)
+    if not state:
+        return rows.where(F.lit(False)).select(key, "source", "n_tokens", F.lit(0.0).alias("rate"), F.lit(0).alias("copies"))
     tilt = spark.createDataFrame([(s, x["lam"], x["mean"], float(x["cap"]), x["base"]) for s, x in state.items()], "source string, lam double, mean double, cap double, base double")
     n = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(1, math.ceil(n / BUCKET_ROWS))
@@ -86,7 +89,18 @@ def mixed(documents: DataFrame, targets: DataFrame, key: str = "doc_id", total:
     start = F.pmod(F.xxhash64("source", "_b"), F.lit(1_000_003)) / F.lit(1_000_003.0)
     upto = F.sum("rate").over(within) + start
     copies = F.greatest(F.lit(0), F.least(F.floor(upto) - F.floor(upto - F.col("rate")), F.ceil("rate"), F.col("cap"))).cast("int")
-    return rated.withColumn("copies", copies).where("copies > 0").select(key, "source", "n_tokens", F.round("rate", 9).alias("rate"), "copies")
+    rounded = written(rated.select(key, "source", "n_tokens", "rate", "cap", "_b", copies.alias("copies")))
+    got = {r.source: r.t for r in rounded.groupBy("source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("t")).collect()}  # one row a target
+    used = {r.source: r.k for r in rounded.groupBy("source").agg(F.countDistinct("_b").alias("k")).collect()}
+    rooms = spark.createDataFrame([(x, (state[x]["want"] - t) / used[x]) for x, t in got.items()], "source string, room double")
+    more = F.col("room") > 0
+    # only documents well below what is missing, so that the last one that fits leaves little
+    can = (F.col("n_tokens") * 4 <= F.abs("room")) & F.when(more, F.col("copies") < F.col("cap")).otherwise(F.col("copies") > 0)
+    order = Window.partitionBy("source", "_b").orderBy(F.xxhash64(F.lit(1), F.col(key)), key, "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    filled = F.sum(F.when(can, F.col("n_tokens")).otherwise(0)).over(order)
+    step = F.when(can & (filled <= F.abs("room")), F.when(more, 1).otherwise(-1)).otherwise(0)
+    mended = rounded.join(F.broadcast(rooms), "source").withColumn("copies", (F.col("copies") + step).cast("int"))
+    return mended.where("copies > 0").select(key, "source", "n_tokens", F.round("rate", 9).alias("rate"), "copies")
 
 
 def share_report(selection: DataFrame, targets: DataFrame) -> DataFrame:
