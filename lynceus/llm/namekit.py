@@ -164,7 +164,7 @@ _LEGAL = [re.compile(rf"(?<![a-z]){x.replace(' ', r'[ .-]*')}(?![a-z])") for x i
 def read(name: str | None) -> tuple[str, list[str], list[str], list[str]]:
     """(kind, words, initials, trade): kind "c" company, "n" other name, "" nobody.
 
-    words: whole words that tell the name apart, in sounded form; initials: single letters; trade: the line of business.
+    words: whole words that tell the name apart, as written; initials: single letters; trade: the line of business.
     """
     if not name:
         return "", [], [], []

@@ -59,6 +59,15 @@ def test_merged_profiles_match_what_no_member_does(spark):
     assert {r.record_id for r in spellings.linked_items(typed, held).collect()} == {1, 2, 3}
 
 
+def test_a_dropped_letter_that_makes_equal_letters_meet(spark):
+    """One letter dropped where the letters beside it are equal: one edit as written, two or three as sounded."""
+    names = {1: ("Mezebrur Tolvaskin", "MEEBRUR Tolvaskin"), 2: ("Gavapes Drinolek", "gaapes drinolek"), 3: ("Stisenes Prulokam", "Prulokam, STISEES"), 4: ("Jijesta Kormelug", "Jjesta Kormelug"), 5: ("Bralten Klogokjim Chemical LLC", "Bralten KLOOKJIM Chem LLC")}
+    typed = spark.createDataFrame([(k, t) for k, (_, t) in names.items()], "item_id long, name string")
+    held = entities(spark, *[{"record_id": k, "name": n} for k, (n, _) in names.items()])
+    assert {(r.item_id, r.record_id) for r in spellings.linked_items(typed, held).collect()} >= {(k, k) for k in names}
+    assert spellings.word_distance("meebrur", "mezebrur") == 1 and spellings.word_distance("gaapes", "gavapes") == 1 and spellings.word_distance("lee", "lea") == 9
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("abcd", max_size=8), st.text("abcd", max_size=8))
 def test_edits(a, b):
