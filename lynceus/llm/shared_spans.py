@@ -10,11 +10,14 @@
    by one.
 3. Automata. Phrases are put into shards of bounded size, an Aho-Corasick automaton is compiled for each, and the documents
    that hold an anchor of a shard are streamed through it. A document without such an anchor can't hold a phrase of the
-   shard, so leaving it out loses nothing. The automata see the text itself: hashes decide nothing in the result.
+   shard, so leaving it out loses nothing. The automata see the text itself: hashes decide nothing in the pairs.
+4. Passages. A maximal shared passage starts where a located phrase starts and ends where one ends. All spans between such
+   places are told equal by 128-bit digests; of those that stand in two documents the ones inside no other remain.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -244,15 +247,52 @@ def shared_pairs(documents: DataFrame, key: str = "doc_id", text: str = "text",
     return a.join(b, "phrase").where(F.col(f"{key}_a") < F.col(f"{key}_b")).select(f"{key}_a", f"{key}_b").distinct()
 
 
+def shared_passages(documents: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, k: int = K) -> DataFrame:
+    """(key, from_char, to_char, passage, holders): the maximal passages of each document that stand in another one too.
+
+    Positions count from 0, to_char is exclusive. A passage is maximal if no longer span around it stands in any other document;
+    passages of one document may overlap. Equal texts have one passage id; holders is the number of documents that hold it.
+    """
+    kind = documents.schema[key].dataType.simpleString()
+    texts, placed = confirmed_phrases(documents, key, text, min_chars, k, both_ends=True)
+    hits = located(documents, key, text, texts, written(placed).select("phrase", key))
+    starts = hits.groupBy(F.col(key).alias("_key")).agg(F.array_sort(F.collect_set("from_char")).alias("starts"))  # bounded by one text
+
+    def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["_key", "from_char", "to_char", "passage"]
+        for pdf in batches:
+            out = []
+            for i, t, at in zip(pdf["_key"], pdf["_text"], pdf["starts"], strict=True):
+                for n, a in enumerate(at):
+                    digest, done = hashlib.blake2b(digest_size=16), a
+                    for b in at[n:]:
+                        if b > done and done > a:  # no phrase goes on from here
+                            break
+                        digest.update(t[done : b + min_chars].encode("utf-8", "surrogatepass"))
+                        done = int(b) + min_chars
+                        out.append((i, a, done, digest.hexdigest()))
+                    if len(out) > 100_000:
+                        yield pd.DataFrame(out, columns=columns)
+                        out = []
+            yield pd.DataFrame(out, columns=columns)
+
+    rows = documents.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(starts, "_key")
+    found = written(rows.mapInPandas(spans, f"_key {kind}, from_char int, to_char int, passage string").distinct())
+    held = found.groupBy("passage").agg(F.countDistinct("_key").alias("holders")).where("holders > 1")
+    before = Window.partitionBy("_key").orderBy("from_char", F.desc("to_char")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = found.join(held, "passage").withColumn("reach", F.coalesce(F.max("to_char").over(before), F.lit(-1))).where("to_char > reach")
+    return whole.select(F.col("_key").alias(key), "from_char", "to_char", "passage", "holders")
+
+
 def shared_coverage(documents: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, k: int = K) -> DataFrame:
     """(key, n_chars, shared_chars, shared_share, passages): how much of each document stands in another one too.
 
-    One row a document, zeros where nothing is shared or the text is null.
+    One row a document, zeros where nothing is shared or the text is null. passages: stretches of shared characters, overlapping
+    passages being one.
     """
-    _, placed = confirmed_phrases(documents, key, text, min_chars, k, both_ends=True)
     by = Window.partitionBy(key).orderBy("from_char")
     reach = F.max("to_char").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    spans = placed.select(key, "from_char", (F.col("from_char") + min_chars).alias("to_char")).distinct().withColumn("reach", F.coalesce(reach, F.lit(-1)))
+    spans = shared_passages(documents, key, text, min_chars, k).select(key, "from_char", "to_char").distinct().withColumn("reach", F.coalesce(reach, F.lit(-1)))
     fresh = F.greatest(F.lit(0), F.col("to_char") - F.greatest("from_char", "reach"))
     per = spans.groupBy(key).agg(F.sum(fresh).alias("shared_chars"), F.sum(F.when(F.col("from_char") > F.col("reach"), 1).otherwise(0)).alias("passages"))
     base = documents.groupBy(key).agg(F.coalesce(F.max(F.length(text)), F.lit(0)).alias("n_chars"))
@@ -268,3 +308,8 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 def p10_coverage(spark: SparkSession, folder: str) -> DataFrame:
     """How much of every document stands elsewhere."""
     return shared_coverage(table(spark, folder, "documents"))
+
+
+def p10_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """The maximal passages that documents share."""
+    return shared_passages(table(spark, folder, "documents"))

@@ -305,3 +305,27 @@ def test_shared_spans(spark, least, k):
         mine = {q for p in range(len(t or "") - least + 1) if len(held[t[p : p + least]]) > 1 for q in range(p, p + least)}
         assert cover[i] == (len(t or ""), len(mine)), i
     assert shared_spans.shared_pairs(df.limit(0)).count() == 0
+
+
+def test_shared_passages(spark):
+    """Every maximal passage with its place and its holders, against brute force; coverage is their union."""
+    rng = random.Random(10)
+    text = lambda n: "".join(rng.choice("abcdefgh é漢\U0001f600") for _ in range(n))
+    p, q = text(70), text(40)
+    docs = {1: text(30) + p + text(9), 2: p[10:] + text(20), 3: text(5) + p[:50] + q, 4: q + text(8) + q, 5: None, 6: text(80), 7: "a" * 60, 8: "a" * 45 + "b", 9: p + q}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    want = set()
+    for i, t in docs.items():
+        others = [u for j, u in docs.items() if j != i and u]
+        reach = 0
+        for a in range(len(t or "")):
+            b = max((e for e in range(a + 24, len(t) + 1) if any(t[a:e] in u for u in others)), default=0)
+            if b > reach:
+                want.add((i, a, b, sum(t[a:b] in (u or "") for u in docs.values())))
+                reach = b
+    got = shared_spans.shared_passages(df, min_chars=24, k=12).collect()
+    assert {(r.doc_id, r.from_char, r.to_char, r.holders) for r in got} == want and len(got) == len(want) > 10
+    texts = {}
+    for r in got:
+        assert texts.setdefault(r.passage, docs[r.doc_id][r.from_char : r.to_char]) == docs[r.doc_id][r.from_char : r.to_char]
+    assert len(set(texts.values())) == len(texts)
