@@ -11,8 +11,9 @@
 3. Automata. Phrases are put into shards of bounded size, an Aho-Corasick automaton is compiled for each, and the documents
    that hold an anchor of a shard are streamed through it. A document without such an anchor can't hold a phrase of the
    shard, so leaving it out loses nothing. The automata see the text itself: hashes decide nothing in the pairs.
-4. Passages. A maximal shared passage starts where a located phrase starts and ends where one ends. All spans between such
-   places are told equal by 128-bit digests; of those that stand in two documents the ones inside no other remain.
+4. Passages. A maximal shared passage starts with a located phrase that not everywhere has the same character before it, and ends
+   with one that not everywhere has the same after it. All spans between such places are told equal by 128-bit digests; of those
+   that stand in two documents the ones inside no other remain.
 """
 
 from __future__ import annotations
@@ -202,7 +203,8 @@ def representatives(texts: DataFrame, placed: DataFrame, key: str) -> tuple[Data
 
 
 def located(documents: DataFrame, key: str, text: str, texts: DataFrame, where: DataFrame, shard_chars: int = SHARD_CHARS, task_chars: int = TASK_CHARS) -> DataFrame:
-    """(phrase, key, from_char): every occurrence of the phrases, found by one Aho-Corasick automaton a shard.
+    """(phrase, key, from_char, before, after): every occurrence of the phrases, found by one Aho-Corasick automaton a shard, and the
+    characters beside it, "" at the ends of the text.
 
     A shard's documents are spread over as many tasks as their length needs, so no task holds more than about
     task_chars of text beside one automaton.
@@ -228,10 +230,12 @@ def located(documents: DataFrame, key: str, text: str, texts: DataFrame, where:
         if len(automaton):
             automaton.make_automaton()
             for i, t in zip(pdf["_key"], pdf["_text"], strict=True):
-                out += [(name, i, end - n + 1) for end, (name, n) in automaton.iter(t)]
-        return pd.DataFrame(out, columns=["phrase", key, "from_char"])
+                for end, (name, n) in automaton.iter(t):
+                    at = end - n + 1
+                    out.append((name, i, at, t[at - 1 : at] if at else "", t[end + 1 : end + 2]))
+        return pd.DataFrame(out, columns=["phrase", key, "from_char", "before", "after"])
 
-    return phrases.groupBy("shard", "task").cogroup(docs.select("shard", "task", "_key", "_text").groupBy("shard", "task")).applyInPandas(stream, f"phrase string, `{key}` {kind}, from_char int")
+    return phrases.groupBy("shard", "task").cogroup(docs.select("shard", "task", "_key", "_text").groupBy("shard", "task")).applyInPandas(stream, f"phrase string, `{key}` {kind}, from_char int, before string, after string")
 
 
 def shared_pairs(documents: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, k: int = K) -> DataFrame:
@@ -255,22 +259,29 @@ def shared_passages(documents: DataFrame, key: str = "doc_id", text: str = "text
     """
     kind = documents.schema[key].dataType.simpleString()
     texts, placed = confirmed_phrases(documents, key, text, min_chars, k, both_ends=True)
-    hits = located(documents, key, text, texts, written(placed).select("phrase", key))
-    starts = hits.groupBy(F.col(key).alias("_key")).agg(F.array_sort(F.collect_set("from_char")).alias("starts"))  # bounded by one text
+    hits = written(located(documents, key, text, texts, written(placed).select("phrase", key)))
+    parts = lambda c: (F.min(c) != F.max(c)) | (F.min(c) == "")
+    turns = hits.groupBy("phrase").agg(parts("before").alias("opens"), parts("after").alias("closes"))
+    at = hits.join(turns, "phrase").groupBy(F.col(key).alias("_key"), "from_char").agg(F.max("opens").alias("opens"), F.max("closes").alias("closes"))
+    starts = at.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("from_char", "opens", "closes"))).alias("starts"))  # bounded by one text
 
     def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["_key", "from_char", "to_char", "passage"]
         for pdf in batches:
             out = []
-            for i, t, at in zip(pdf["_key"], pdf["_text"], pdf["starts"], strict=True):
-                for n, a in enumerate(at):
-                    digest, done = hashlib.blake2b(digest_size=16), a
-                    for b in at[n:]:
-                        if b > done and done > a:  # no phrase goes on from here
+            for i, t, places in zip(pdf["_key"], pdf["_text"], pdf["starts"], strict=True):
+                for n, first in enumerate(places):
+                    if not first["opens"]:
+                        continue
+                    digest, done = hashlib.blake2b(digest_size=16), first["from_char"]
+                    for p in places[n:]:
+                        if p["from_char"] > done:  # no phrase goes on from here
                             break
-                        digest.update(t[done : b + min_chars].encode("utf-8", "surrogatepass"))
-                        done = int(b) + min_chars
-                        out.append((i, a, done, digest.hexdigest()))
+                        end = p["from_char"] + min_chars
+                        digest.update(t[done:end].encode("utf-8", "surrogatepass"))
+                        done = end
+                        if p["closes"]:
+                            out.append((i, first["from_char"], end, digest.hexdigest()))
                     if len(out) > 100_000:
                         yield pd.DataFrame(out, columns=columns)
                         out = []
