@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Masters whose executors are on this machine.
+LOCAL_MASTER = re.compile(r"local(-cluster)?(\[.*\])?")
 SPARK_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -26,9 +32,12 @@ def session(master: str = "local[8]", partitions: int = 8, memory: str = "8g") -
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local temporary one only where that is unset, as in tests."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, a local master, as in tests, gets a temporary one; a cluster
+    is refused, since its executors don't share a local disk."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not LOCAL_MASTER.fullmatch(spark.sparkContext.master):
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lynceus-", dir=os.environ.get("TMPDIR"))
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -39,20 +48,63 @@ def written(df: DataFrame, partitions: int | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/lynceus-{uuid.uuid4().hex}"
     (df if partitions is None else df.coalesce(partitions)).write.option("compression", "zstd").parquet(path)
-    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    own = getattr(_SCRATCH, "paths", None)
+    (_WRITTEN.setdefault(spark.sparkContext.applicationId, []) if own is None else own).append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def written_lines(df: DataFrame) -> str:
+    """The one text column as lines of files in the shared folder, in order of their names; gives the folder."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/lynceus-{uuid.uuid4().hex}"
+    df.write.option("lineSep", "\n").text(path)
+    own = getattr(_SCRATCH, "paths", None)
+    (_WRITTEN.setdefault(spark.sparkContext.applicationId, []) if own is None else own).append(path)
+    return path
 
 
 _WRITTEN: dict[str, list[str]] = {}
+_SCRATCH = threading.local()
 
 
-def release(spark: SparkSession) -> int:
-    """Deletes the tables that this application wrote to the shared folder, once all results that read them are consumed."""
-    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for p in paths:
         path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables that ``written`` returned and nothing reads any more, such as the generation before in a loop."""
+    for t in tables:
+        path = getattr(t, "written_path", None)
+        if path is None:
+            continue
+        spark = t.sparkSession
+        for held in (_WRITTEN.get(spark.sparkContext.applicationId), getattr(_SCRATCH, "paths", None)):
+            if held and path in held:
+                held.remove(path)
+        _delete(spark, [path])
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that this thread writes inside are deleted at the end, so their results must be consumed by then."""
+    outer = getattr(_SCRATCH, "paths", None)
+    _SCRATCH.paths = mine = []
+    try:
+        yield
+    finally:
+        _SCRATCH.paths = outer
+        _delete(spark, mine)
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that this application wrote to the shared folder, once all results that read them are consumed."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    _delete(spark, paths)
     return len(paths)
 
 

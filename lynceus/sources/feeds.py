@@ -1,12 +1,15 @@
 """Readers of the four list feeds and of customer requests.
 
-Delimited files are read by Spark with RFC 4180 quoting. Every row keeps its place in the file, ``pos``: merged records are folded
-in that order and it breaks ties of scores. Rows with too few columns are told by counting the fields of the parsed record,
-not by null columns, since short rows and empty fields differ.
+Delimited files are read in splits, as RFC 4180 records: a first pass counts the quotes of every split, so the second knows whether a
+split starts inside a quoted field. Every row keeps its place in the file, ``pos``: merged records are folded in that order and it breaks ties of
+scores. Rows with too few columns are told by counting the fields of the parsed record, not by null columns, since short rows and
+empty fields differ.
 """
 
 from __future__ import annotations
 
+import csv
+import io
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,35 +18,102 @@ from pyspark.sql import functions as F
 
 from ..functions import words as W
 from ..schema import as_entities, part
+from ..session import written
 
 BLOCK = 1 << 40
 
 
+def record_of(text: str, sep: str) -> list[str]:
+    """The fields of one record; of a record that a stray quote runs together, those of its first row."""
+    return next(csv.reader(io.StringIO(text, newline=""), delimiter=sep), [])
+
+
 def fields_of(spark: SparkSession, path: str | list[str], sep: str = ",") -> DataFrame:
-    """(pos, c): the fields of every record. Files are split where no quoted field can be cut: each file is one stream of
-    records, so quoted line breaks are kept; many files are read in parallel."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    """(pos, c): the fields of every record.
+
+    pos is ordered by file name, then by place in the file, wherever the folder lies. Splits are read by different tasks. A record that
+    ends in a later split is put together from the piece that starts it and the pieces that go on with it, at most two pieces a split;
+    all other records are parsed where they are read. Line breaks inside quotes are kept; blank lines are no records.
+    """
+    paths = [path] if isinstance(path, str) else list(path)
+    lines = spark.read.option("lineSep", "\n").text(paths)
+    lines = lines.select(F.make_valid_utf8("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    quotes = lines.select("file", "at", (F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))).alias("n")).groupBy("file", "at").agg(F.sum("n").alias("n"))
+    before = F.expr("sum(n) OVER (PARTITION BY file ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+    # one row a split: a file's splits are as many as its bytes over the split size
+    splits = quotes.select("file", "at", F.pmod(F.coalesce(before, F.lit(0)), F.lit(2)).cast("int").alias("inside"))
+    files = quotes.select("file").distinct().select("file", (F.dense_rank().over(_by_name(F.element_at(F.split("file", "/"), -1), F.col("file"))) - 1).cast("long").alias("no"))
+    splits = written(splits.join(files, "file"))
+    marked = lines.join(F.broadcast(splits), ["file", "at"]).select("no", "at", "inside", "line")
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import csv
-        import io
-        import zlib
+        columns = ["no", "pos", "kind", "c", "piece"]
+        now, held, first, number, odd = None, [], None, 0, False
+        out: list[tuple] = []
+
+        def close(whole: bool) -> None:
+            """What is held: a record, the end of an earlier split's record (kind 0), or the start of one that goes on (kind 2)."""
+            if not held:
+                return
+            text = "\n".join(held)
+            if first is None:
+                out.append((now[0], now[1], 0, None, ("+" if whole else "-") + text))
+            elif whole:
+                text = text.removesuffix("\r")
+                if text:
+                    out.append((now[0], first, 1, record_of(text, sep), None))
+            else:
+                out.append((now[0], first, 2, None, text))
+            held.clear()
 
-        csv.field_size_limit(1 << 30)
         for pdf in batches:
-            for path_, content in zip(pdf["path"], pdf["content"], strict=True):
-                base = (zlib.crc32(path_.encode()) & 0xFFFFF) * BLOCK
-                out, pos = [], base
-                for row in csv.reader(io.StringIO(bytes(content).decode("utf-8-sig", "replace"), newline=""), delimiter=sep):
-                    if row:
-                        out.append((pos, row))
-                        pos += 1
-                    if len(out) >= 4096:
-                        yield pd.DataFrame(out, columns=["pos", "c"])
-                        out = []
-                yield pd.DataFrame(out, columns=["pos", "c"])
-
-    return files.mapInPandas(parse, "pos long, c array<string>")
+            for no, at, inside, line in zip(pdf["no"], pdf["at"], pdf["inside"], pdf["line"], strict=True):
+                if (no, at) != now:
+                    close(False)
+                    now, number, odd, first = (no, at), 0, bool(inside), None
+                    if at == 0:
+                        line = line.removeprefix("\ufeff")
+                if not held:
+                    first = None if odd and number == 0 else at + number
+                held.append(line)
+                number += 1
+                odd ^= line.count('"') % 2 == 1
+                if not odd:
+                    close(True)
+            if len(out) >= 4096:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
+        close(False)
+        yield pd.DataFrame(out, columns=columns)
+
+    read = written(marked.mapInPandas(parse, "no long, pos long, kind int, c array<string>, piece string"))
+    whole = read.where("kind = 1").select((F.col("no") * F.lit(BLOCK) + F.col("pos")).alias("pos"), "c")
+
+    def mend(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, start, text = [], None, []
+        for pos, kind, piece in zip(*[x.tolist() for _, x in pdf.sort_values(["pos", "kind"])[["pos", "kind", "piece"]].items()], strict=True):
+            if kind == 2:
+                if start is not None:
+                    out.append((start, "\n".join(text)))
+                start, text = pos, [piece]
+            elif start is not None:
+                text.append(piece[1:])
+                if piece[0] == "+":
+                    out.append((start, "\n".join(text)))
+                    start, text = None, []
+        if start is not None:
+            out.append((start, "\n".join(text)))
+        base = int(pdf["no"].iloc[0]) * BLOCK
+        return pd.DataFrame([(base + p, record_of(t.removesuffix("\r"), sep)) for p, t in out], columns=["pos", "c"])
+
+    # at most two pieces a split, so a file's pieces are few
+    return whole.union(read.where("kind <> 1").groupBy("no").applyInPandas(mend, "pos long, c array<string>"))
+
+
+def _by_name(*order: Column):
+    from pyspark.sql import Window
+
+    return Window.partitionBy(F.lit(1)).orderBy(*order)  # one row a file
 
 
 def cell(k: int) -> Column:
@@ -80,7 +150,7 @@ def read_ofac(spark: SparkSession, sdn: str, addresses: str | None = None, alt_n
     main = main.where((F.col("key") != "") & (F.col("name") != "") & ~F.lower("key").contains("ent_num") & ~F.col("key").rlike("[_ ]"))
     ordered = lambda value: F.transform(F.array_sort(F.collect_list(F.struct("pos", value))), lambda x: x["v"])
     if addresses:
-        side = fields_of(spark, addresses).where(F.size("c") >= 5).withColumn("key", ident).where((F.col("key") != "") & ~F.col("key").rlike("[_ ]"))
+        side = fields_of(spark, addresses).where(F.size("c") >= 6).withColumn("key", ident).where((F.col("key") != "") & ~F.col("key").rlike("[_ ]"))
         place = F.split(unmarked(F.get("c", F.lit(3))), ",")
         bit = lambda k: F.trim(F.coalesce(F.get(place, F.lit(k)), F.lit("")))
         one = F.struct(unmarked(F.get("c", F.lit(2))).alias("line1"), F.lit(None).cast("string").alias("line2"), bit(0).alias("city"), bit(1).alias("state"), F.lit("").alias("postal_code"), unmarked(F.get("c", F.lit(4))).alias("country"))
