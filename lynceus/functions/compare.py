@@ -233,9 +233,6 @@ def affiliations_score(scores: Column) -> Column:
     return F.coalesce(F.try_divide(power(3.0), power(2.0)), nought())
 
 
-affiliation_text = affiliation_name
-
-
 def programs_score(q: Column, i: Column) -> Column:
     """Share of the query's programmes that the other has, less a fifth if only one is secondary."""
     hits = F.size(F.filter(q["programs"], lambda a: F.exists(i["programs"], lambda b: F.lower(a) == F.lower(b)))).cast("double")

@@ -80,6 +80,11 @@ def language_guess(c: Column) -> Column:
     )
 
 
+def is_language(c: Column, language: str) -> Column:
+    """Whether a text is told to be in the language."""
+    return language_guess(c)["language"] == language
+
+
 def country_language(c: Column) -> Column:
     table = {name.strip(): lang for lang, names in W.COUNTRY_LANGUAGES.items() for name in names.split(",")}
     return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[F.lower(F.trim(c))]
@@ -205,3 +210,20 @@ def first_letters_fit(a: Column, b: Column) -> Column:
     swap = F.concat(x, y).isin([p + q for p, q in pairs])
     return (x == "") | (y == "") | (x == y) | swap | (x.rlike("\\p{Nd}") & y.rlike("\\p{Nd}"))
 
+
+
+def sounds_match(a: Column, b: Column) -> Column:
+    """Whether two words have one phonetic key; words without a sign have none."""
+    x, y = sound_key(a), sound_key(b)
+    return F.coalesce((x != "") & (x == y), F.lit(False))
+
+
+def any_sounds_match(a: Column, b: Column) -> Column:
+    """Whether any word of one list sounds like any of the other."""
+    keys = lambda ws: F.filter(F.transform(ws, sound_key), lambda k: k != "")
+    return F.coalesce(F.arrays_overlap(keys(a), keys(b)), F.lit(False))
+
+
+def filtered_out(a: Column, b: Column) -> Column:
+    """Whether two texts need no comparison, as their first letters can't sound alike."""
+    return F.coalesce(~first_letters_fit(a, b), F.lit(False))

@@ -249,6 +249,12 @@ words_score_zero = pair_column(lambda a, b, c: words_score((a or "").split(), (b
 favoured_column = pair_column(lambda a, b, c: favoured_score(a, b, 0.05, c), ZERO)
 
 
+@F.pandas_udf(T.StringType())
+def merged_words_column(names: pd.Series) -> pd.Series:
+    """All word forms of a normalised name, one after the other, with bars between."""
+    return names.map(lambda n: "|".join(" ".join(ws) for ws in merged_words((n or "").split())))
+
+
 def register(spark) -> None:
     """The scorers as SQL functions."""
     for name, f in {"jaro": jaro_column, "name_score": name_score_column, "text_score": text_score_column, "favoured_score": favoured_column}.items():

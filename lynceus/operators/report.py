@@ -112,14 +112,60 @@ class Traces:
         self.table = self.table.where(F.col("session_id") != session_id)
 
 
-def html_page(summary: dict, contributions: dict[str, float], phases: list[dict]) -> str:
-    """One page of a session; every text is escaped."""
+# What scores are called in reports, from the least score on that each is for.
+NAME_TEXTS = [
+    (0.9, "Very strong name match - names are nearly identical"), (0.7, "Strong name match - names are very similar"), (0.5, "Moderate name match - names share significant similarities"),
+    (0.3, "Weak name match - some similarities but notable differences"), (None, "Very weak name match - names are quite different"),
+]
+TOTAL_TEXTS = [
+    (0.9, "HIGH RISK - Very strong match, likely the same entity"), (0.7, "MEDIUM RISK - Strong match, requires manual review"), (0.5, "MEDIUM RISK - Moderate match, further investigation recommended"), (None, "LOW RISK - Weak match, likely a false positive"),
+]
+# What each phase does.
+PHASE_TEXTS = {
+    "NORMALIZATION": "Standardize text (remove accents, lowercase, punctuation) for consistent comparison", "TOKENIZATION": "Break names into words and generate combinations for matching",
+    "PHONETIC_FILTER": "Use sound-alike matching (Soundex) to catch spelling variations", "NAME_COMPARISON": "Compare primary names using similarity algorithm (Jaro-Winkler)",
+    "ALT_NAME_COMPARISON": "Check against known aliases and alternate spellings", "GOV_ID_COMPARISON": "Match government IDs (passport, tax ID) for exact identification", "CRYPTO_COMPARISON": "Compare cryptocurrency wallet addresses",
+    "CONTACT_COMPARISON": "Match email addresses, phone numbers, and fax numbers", "ADDRESS_COMPARISON": "Compare physical addresses and locations", "DATE_COMPARISON": "Compare birth dates, death dates, and other temporal data",
+    "AGGREGATION": "Combine all component scores into final weighted score", "FILTERING": "Apply minimum match threshold to filter out low-confidence results",
+}
+
+
+def _banded(texts: list, score: Column) -> Column:
+    out = None
+    for least, text in texts[:-1]:
+        out = F.when(score >= least, text) if out is None else out.when(score >= least, text)
+    return out.otherwise(texts[-1][1])
+
+
+def name_text(score: Column) -> Column:
+    return _banded(NAME_TEXTS, score)
+
+
+def total_text(score: Column) -> Column:
+    return _banded(TOTAL_TEXTS, score)
+
+
+def _of(texts: list, score: float) -> str:
+    return next(t for least, t in texts if least is None or score >= least)
+
+
+def html_page(summary: dict, contributions: dict[str, float], phases: list[dict], metadata: dict | None = None) -> str:
+    """One page of a session: an executive summary with the total in words, the breakdown, the phases and what they do, metadata. Every text is
+    escaped; a session without events has a page that says so."""
     e = lambda x: html.escape(str(x))
+    if not phases and not contributions:
+        return "<!doctype html><html><head><meta charset='utf-8'><title>Empty report</title></head><body><h1>No trace data available</h1></body></html>"
     kind = lambda s: "high" if s >= 0.7 else "medium" if s >= 0.3 else "low"
-    rows = "".join(f'<tr class="{kind(v)}"><td>{e(PARTS.get(k, k))}</td><td>{v:.3f}</td></tr>' for k, v in contributions.items())
-    times = "".join(f"<tr><td>{e(p['phase'])}</td><td>{e(p['n'])}</td><td>{e(p['total_ms'])}</td></tr>" for p in phases)
-    facts = "".join(f"<tr><td>{e(k)}</td><td>{e(v)}</td></tr>" for k, v in summary.items())
-    return f"<!doctype html><html><head><meta charset='utf-8'><title>Scoring report</title></head><body><h1>Scoring report</h1><table>{facts}</table><h2>Breakdown</h2><table>{rows}</table><h2>Phases</h2><table>{times}</table></body></html>"
+    row = lambda *cells: "<tr>" + "".join(f"<td>{e(c)}</td>" for c in cells) + "</tr>"
+    said = "".join(f"<p class='{kind(float(summary[k]))}'>{e(text)}</p>" for k, text in [(k, _of(TOTAL_TEXTS, float(summary[k]))) for k in ("average_score",) if summary.get(k) is not None])
+    facts = "".join(row(k, v) for k, v in summary.items())
+    scores = "".join(f'<tr class="{kind(v)}"><td>{e(PARTS.get(k, k))}</td><td>{v:.3f}</td><td>{e(_of(NAME_TEXTS, v)) if k == "name" else ""}</td></tr>' for k, v in contributions.items())
+    times = "".join(row(k + 1, p["phase"], p["n"], p["total_ms"], PHASE_TEXTS.get(p["phase"], "")) for k, p in enumerate(phases))
+    more = "<h2>Metadata</h2><table>" + "".join(row(k, v) for k, v in metadata.items()) + "</table>" if metadata else ""
+    return (
+        "<!doctype html><html lang='en'><head><meta charset='utf-8'><title>Scoring report</title></head><body><h1>Scoring report</h1>"
+        f"<h2>Executive summary</h2>{said}<table>{facts}</table><h2>Breakdown</h2><table>{scores}</table><h2>Phases</h2><table>{times}</table>{more}</body></html>"
+    )
 
 
 def search_hits(results: DataFrame, traced: bool = False) -> DataFrame:
@@ -128,7 +174,10 @@ def search_hits(results: DataFrame, traced: bool = False) -> DataFrame:
     return results.select(*columns, *(["breakdown"] if traced else []))
 
 
-def as_json(hits: DataFrame, request_id: str) -> DataFrame:
-    """One JSON text: results, their number and the request's id. Results are at most a search's limit."""
-    body = F.struct(F.collect_list(F.struct(*hits.columns)).alias("results"), F.count("*").alias("total"), F.lit(request_id).alias("requestID"))
+def as_json(hits: DataFrame, request_id: str, debug: str | None = None, trace_id: str | None = None) -> DataFrame:
+    """One JSON text: results, their number and the request's id, with a debug text and a trace's id and report address where they are given.
+    Results are at most a search's limit."""
+    more = [F.lit(debug).alias("debug")] if debug else []
+    more += [F.lit(trace_id).alias("trace"), F.lit(f"/api/reports/{trace_id}").alias("reportUrl")] if trace_id else []
+    body = F.struct(F.collect_list(F.struct(*hits.columns)).alias("results"), F.count("*").alias("total"), F.lit(request_id).alias("requestID"), *more)
     return hits.agg(F.to_json(body).alias("response"))

@@ -1,8 +1,8 @@
 """Screening of names against an index: a fuzzy join with a threshold and the best k of each name.
 
-The names asked are a stated set. They are read in blocks of bounded size, each block is sent to the workers, and the index is
-streamed past it once a block, partition by partition: no row is ever paired with another in a shuffle. Pairs are
-cut before scoring by bounds that lose nothing:
+The names asked are a stated set. Both sides are spread over a grid: asked names in blocks, index names in parts, one task a cell. It is one
+job whatever the number of names; nothing comes to the driver and nothing is broadcast. Pairs of a cell are cut before they are scored by bounds
+that lose nothing:
 
 * names with as many words and the same set of sounds score 1, whatever else;
 * else 0.6 T + 0.4 F must reach the threshold. Jaro is at most (c / n + c / m + 1) / 3 with c common letters, which bounds F, and T is a mean
@@ -13,7 +13,7 @@ The bounds hold for settings whose boosts and penalties are within [0, 1]; for o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,6 +26,7 @@ from ..functions.normalize import plain
 from ..session import width, written
 
 BLOCK_NAMES = 2000
+PART_NAMES = 16_384
 CHUNK_NAMES = 1024
 LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
 
@@ -161,51 +162,54 @@ class Block:
             yield from ((x, lo + y) for x, y in sorted(kept))
 
 
-def name_scores(asked: DataFrame, index_names: DataFrame, min_match: float, config: Similarity = DEFAULT, block_names: int = BLOCK_NAMES) -> DataFrame:
-    """(q, index_pos, score): the best score of each asked name against each entity, from ``min_match`` on.
+def name_scores(asked: DataFrame, index_names: DataFrame, min_match: float, config: Similarity = DEFAULT, block_names: int = BLOCK_NAMES, scorer: Callable = S.read_name_score, tally=None) -> DataFrame:
+    """(q, index_pos, score, error): the best score of each asked name against each entity, from ``min_match`` on.
 
     asked: (q, text, source_f, type_f), distinct, normalised, filters null for all; index_names: (index_pos, source, entity_type, text), one row a
-    name. Empty texts score nothing.
+    name. Empty texts score nothing. A name whose scoring fails has one row with the message and no score. tally: an accumulator of the
+    pairs that are scored.
     """
     spark = asked.sparkSession
-    config_ = config
     asked = written(asked.where("text <> ''"))
-    n = asked.count()
-    blocks = max(1, -(-n // block_names))
-    asked = written(asked.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks))))
-    # names are spread evenly, equal ones together; a stated number is not coalesced for being few bytes
-    held = index_names.where("text <> ''").repartition(width(spark), "text")
-    out = None
-    for k in range(blocks):
-        rows = [tuple(r) for r in asked.where(F.col("block") == k).select("q", "text", "source_f", "type_f").collect()]  # about block_names rows
-        if not rows:
-            continue
-        shared = spark.sparkContext.broadcast(rows)
-
-        def score(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            block = Block(shared.value, config_, min_match)
-            for pdf in batches:
-                # equal names of a batch are scored once
-                unique = {x: i for i, x in enumerate(dict.fromkeys(pdf["text"]))}
-                names = list(unique)
-                hits: dict[int, list[tuple[int, float]]] = {}
-                for a, b in block.pairs(names):
-                    s = S.read_name_score(block.names[a], names[b], config_)
-                    if s >= min_match:
-                        hits.setdefault(b, []).append((a, s))
-                got = []
-                for pos, source, kind, text in zip(pdf["index_pos"], pdf["source"], pdf["entity_type"], pdf["text"], strict=True):
-                    for a, s in hits.get(unique[text], ()):
-                        q, _, fs, ft = block.rows[a]
-                        if (fs is None or fs == source) and (ft is None or ft == kind):
-                            got.append((q, pos, s))
-                yield pd.DataFrame(got, columns=["q", "index_pos", "score"])
-
-        one = held.select("index_pos", "source", "entity_type", "text").mapInPandas(score, "q long, index_pos long, score double")
-        out = one if out is None else out.union(one)
-    if out is None:
-        return spark.createDataFrame([], "q long, index_pos long, score double")
-    return out.groupBy("q", "index_pos").agg(F.max("score").alias("score"))
+    held = index_names.where("text <> ''").select("index_pos", "source", "entity_type", "text")
+    blocks = max(1, -(-asked.count() // block_names))
+    parts = max(-(-held.count() // PART_NAMES), -(-2 * width(spark) // blocks))
+    block = F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int")
+    part = F.pmod(F.xxhash64("text"), F.lit(parts)).cast("int")  # equal names together, so that they are scored once
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select("q", "text", "source_f", "type_f", block.alias("block"), every(parts).alias("part"))
+    right = held.select("*", part.alias("part"), every(blocks).alias("block"))
+
+    def score(ask: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        got: list[tuple] = []
+        if len(ask) and len(own):
+            cell = Block(list(ask[["q", "text", "source_f", "type_f"]].itertuples(index=False, name=None)), config, min_match)
+            unique = {x: i for i, x in enumerate(dict.fromkeys(own["text"]))}
+            names = list(unique)
+            hits: dict[int, list[tuple[int, float]]] = {}
+            failed: dict[int, str] = {}
+            scored = 0
+            for a, b in cell.pairs(names):
+                scored += 1
+                try:
+                    s = scorer(cell.names[a], names[b], config)
+                except Exception as e:  # noqa: BLE001
+                    failed.setdefault(a, str(e) or type(e).__name__)
+                    continue
+                if s >= min_match:
+                    hits.setdefault(b, []).append((a, s))
+            if tally is not None:
+                tally.add(scored)
+            for pos, source, kind, text in zip(own["index_pos"], own["source"], own["entity_type"], own["text"], strict=True):
+                for a, s in hits.get(unique[text], ()):
+                    q, _, fs, ft = cell.rows[a]
+                    if (fs is None or fs == source) and (ft is None or ft == kind):
+                        got.append((q, pos, s, None))
+            got += [(cell.rows[a][0], None, None, e) for a, e in failed.items()]
+        return pd.DataFrame(got, columns=["q", "index_pos", "score", "error"]).astype({"index_pos": "Int64"})
+
+    grid = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(score, "q long, index_pos long, score double, error string")
+    return grid.groupBy("q", "index_pos").agg(F.max("score").alias("score"), F.min("error").alias("error"))
 
 
 def index_names(index: DataFrame, mode: str = "raw") -> DataFrame:
@@ -219,18 +223,25 @@ def index_names(index: DataFrame, mode: str = "raw") -> DataFrame:
     return index.select("index_pos", "source", "entity_type", F.explode(F.array_distinct(all_)).alias("text")).where("text IS NOT NULL AND text <> ''")
 
 
+def screened(requests: DataFrame, index: DataFrame, min_match: float, limit: int, mode: str, config: Similarity, scorer: Callable = S.read_name_score) -> tuple[DataFrame, DataFrame]:
+    """(item_pos, rank, index_pos, score) of ``screen``, and (item_pos, error) of the requests whose scoring failed."""
+    read = written(requests.select("item_pos", plain(F.col("name")).alias("text"), F.col("source_f"), F.col("type_f")).withColumn("q", F.xxhash64("text", F.coalesce("source_f", F.lit("")), F.coalesce("type_f", F.lit("")))))
+    asked = read.select("q", "text", "source_f", "type_f").distinct()
+    scores = written(name_scores(asked, index_names(index, mode), min_match, config, scorer=scorer))
+    failed = scores.where("error IS NOT NULL").groupBy("q").agg(F.min("error").alias("error"))
+    best = Window.partitionBy("q").orderBy(F.col("score").desc(), "index_pos")
+    top = scores.where("error IS NULL").where(~F.isnan("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+    top = top.join(failed, "q", "left_anti")
+    return read.select("item_pos", "q").join(top, "q").select("item_pos", "rank", "index_pos", "score"), read.select("item_pos", "q").join(failed, "q").select("item_pos", "error")
+
+
 def screen(requests: DataFrame, index: DataFrame, min_match: float = BATCH_LEAST_MATCH, limit: int = BATCH_LIMIT, mode: str = "raw", config: Similarity = DEFAULT) -> DataFrame:
     """(item_pos, rank, index_pos, score): the best ``limit`` entities of each request, ties in order of the index.
 
     requests: (item_pos, name, source_f, type_f). Null and blank names have no rows; a name asked by many requests is scored once and
     joined back to them. Scores that aren't numbers reach no threshold.
     """
-    read = written(requests.select("item_pos", plain(F.col("name")).alias("text"), F.col("source_f"), F.col("type_f")).withColumn("q", F.xxhash64("text", F.coalesce("source_f", F.lit("")), F.coalesce("type_f", F.lit("")))))
-    asked = read.select("q", "text", "source_f", "type_f").distinct()
-    scores = name_scores(asked, index_names(index, mode), min_match, config).where(~F.isnan("score"))
-    best = Window.partitionBy("q").orderBy(F.col("score").desc(), "index_pos")
-    top = scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
-    return read.select("item_pos", "q").join(top, "q").select("item_pos", "rank", "index_pos", "score")
+    return screened(requests, index, min_match, limit, mode, config)[0]
 
 
 def name_search(index: DataFrame, name: str, min_match: float, limit: int = 10, source: str | None = None, entity_type: str | None = None, mode: str = "raw", config: Similarity = DEFAULT) -> DataFrame:
@@ -243,27 +254,43 @@ def name_search(index: DataFrame, name: str, min_match: float, limit: int = 10,
     return screen(one, index, min_match, limit, mode, config).drop("item_pos").join(index, "index_pos").orderBy("rank")
 
 
-def batch(requests: DataFrame, index: DataFrame, min_match: float = BATCH_LEAST_MATCH, limit: int = BATCH_LIMIT, most: int | None = BATCH_MOST, mode: str = "raw", config: Similarity = DEFAULT) -> DataFrame:
-    """One row a request, in order: item_pos, request_id, name, status, matches (entity_id, name, entity_type, source, score, remarks).
-
-    requests: (item_pos, request_id, name, entity_type, source). Filters that are no value of their list filter nothing. The guard of size
-    is for interactive batches; None, for bulk, has none. A request without matches, a null or a blank name has status NO_MATCHES.
-    """
+def guarded(requests: DataFrame, most: int | None) -> None:
+    """The guard of size of interactive batches; None, for bulk, has none."""
     if most is not None:
         n = requests.limit(most + 1).count()
         if not 1 <= n <= most:
             raise BadRequest(f"a batch has 1 to {most} items")
+
+
+def filters(requests: DataFrame) -> DataFrame:
+    """(item_pos, name, source_f, type_f) of a batch; filters that are no value of their list filter nothing."""
     from ..functions import words as W
 
-    asked = requests.select("item_pos", "name", strict(F.col("source"), W.SOURCES).alias("source_f"), strict(F.col("entity_type"), W.ENTITY_TYPES).alias("type_f"))
-    top = screen(asked, index, min_match, limit, mode, config)
-    # only the winners meet the wide entity
-    hit = top.join(index.select("index_pos", "id", "name", "entity_type", "source", "remarks"), "index_pos")
-    match = F.struct("rank", F.col("id").alias("entity_id"), "name", "entity_type", "source", "score", "remarks")
+    return requests.select("item_pos", "name", strict(F.col("source"), W.SOURCES).alias("source_f"), strict(F.col("entity_type"), W.ENTITY_TYPES).alias("type_f"))
+
+
+def answered(requests: DataFrame, top: DataFrame, failed: DataFrame, index: DataFrame) -> DataFrame:
+    """The rows of a batch: top (item_pos, rank, index_pos, score[, breakdown]) joined to what is shown of the entities."""
+    more = ["breakdown"] if "breakdown" in top.columns else []
+    hit = top.join(index.select("index_pos", "id", "name", "entity_type", "source", "remarks"), "index_pos")  # only the winners meet the wide entity
+    match = F.struct("rank", F.col("id").alias("entity_id"), "name", "entity_type", "source", "score", "remarks", *more)
     lists = hit.groupBy("item_pos").agg(F.array_sort(F.collect_list(match)).alias("matches"))  # at most ``limit`` a request
-    out = requests.join(lists, "item_pos", "left")
-    status = F.when(F.size(F.coalesce("matches", F.array())) > 0, "SUCCESS").otherwise("NO_MATCHES")
-    return out.select("item_pos", "request_id", requests["name"], status.alias("status"), "matches")
+    out = requests.join(lists, "item_pos", "left").join(failed, "item_pos", "left")
+    status = F.when(F.col("error").isNotNull(), "ERROR").when(F.size(F.coalesce("matches", F.array())) > 0, "SUCCESS").otherwise("NO_MATCHES")
+    return out.select("item_pos", "request_id", requests["name"], status.alias("status"), "matches", "error")
+
+
+def batch(
+    requests: DataFrame, index: DataFrame, min_match: float = BATCH_LEAST_MATCH, limit: int = BATCH_LIMIT, most: int | None = BATCH_MOST, mode: str = "raw", config: Similarity = DEFAULT, scorer: Callable = S.read_name_score
+) -> DataFrame:
+    """One row a request, in order: item_pos, request_id, name, status, matches (rank, entity_id, name, entity_type, source, score, remarks), error.
+
+    requests: (item_pos, request_id, name, entity_type, source). A request without matches, a null or a blank name has status
+    NO_MATCHES; one whose scoring fails has status ERROR and the message, and the others go on.
+    """
+    guarded(requests, most)
+    top, failed = screened(filters(requests), index, min_match, limit, mode, config, scorer)
+    return answered(requests, top, failed, index)
 
 
 def statistics(results: DataFrame) -> DataFrame:

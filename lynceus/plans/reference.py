@@ -15,6 +15,8 @@ from ..operators import scoring, search
 from ..operators.prepare import prepared
 from ..schema import as_entities
 from ..session import table, written
+from .scores_sql import plain as plain_sql
+from .text_sql import SQL as TEXT_SQL
 from ..sources.feeds import csl_type, ofac_type, split_clean, unmarked
 
 
@@ -29,15 +31,6 @@ def normalize_text(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", F.md5(N.plain(F.col("text"))).alias("plain_md5"), F.length(N.plain(F.col("text"))).cast("long").alias("plain_chars"))
 
 
-def _plain_sql(c: str) -> str:
-    x = f"lower(regexp_replace({c}, '[.,-]', ' ', 'g'))"
-    for a, b in W.WRITTEN_OUT.items():
-        x = f"replace({x}, '{a}', '{b}')"
-    x = f"regexp_replace(strip_accents({x}), '[\\x{{0300}}-\\x{{036f}}]|[\\x{{10000}}-\\x{{10ffff}}]', '', 'g')"
-    x = f"regexp_replace({x}, '[\\p{{P}}\\p{{S}}\\s\\x1c-\\x1f\\x{{1680}}\\x{{2000}}-\\x{{2006}}\\x{{2008}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g')"
-    return f"coalesce(trim(regexp_replace(regexp_replace({x}, '[^\\p{{L}}\\p{{Nd}} ]', '', 'g'), ' +', ' ', 'g')), '')"
-
-
 def tokenize_counts(spark: SparkSession, folder: str) -> DataFrame:
     words = N.tokens(N.plain(F.col("text")))
     return table(spark, folder, "documents").select("doc_id", F.size(words).cast("long").alias("words"), F.size(F.array_distinct(words)).cast("long").alias("distinct_words"))
@@ -53,7 +46,7 @@ def remove_stopwords(lang: str):
 
 def _stop_sql(lang: str) -> str:
     words = ", ".join(f"'{w}'" for w in W.STOPWORDS[lang].split())
-    kept = f"array_to_string(list_filter(string_split({_plain_sql('text')}, ' '), lambda w: w <> '' AND NOT list_contains([{words}], lower(w))), ' ')"
+    kept = f"array_to_string(list_filter(string_split({plain_sql('text')}, ' '), lambda w: w <> '' AND NOT list_contains([{words}], lower(w))), ' ')"
     return f"SELECT doc_id, md5(k) AS kept_md5, length(k) AS kept_chars FROM (SELECT doc_id, {kept} AS k FROM documents)"
 
 
@@ -267,37 +260,9 @@ def top_phases(spark: SparkSession, folder: str) -> DataFrame:
     return R.phase_counts(e).select("session_id", "phase", F.col("n").cast("long").alias("n"), F.col("rank").cast("long").alias("rank"))
 
 
-def score_texts(spark: SparkSession, folder: str) -> DataFrame:
-    x = table(spark, folder, "lineitem")
-    b = F.struct((F.col("l_quantity") / 50).alias("name"), (F.col("l_discount") * 10).alias("alt_names"), F.lit(0.0).alias("address"), (F.col("l_tax") * 10).alias("gov_id"), F.lit(0.0).alias("crypto"), F.lit(0.0).alias("contact"), F.lit(0.0).alias("date"), (F.col("l_quantity") / 60).alias("total"))
-    rows = x.select("l_orderkey", "l_linenumber", b.alias("b"))
-    return rows.select("l_orderkey", "l_linenumber", F.md5(R.explained(F.col("b"))).alias("text_md5"), F.size(R.insights(F.col("b"), F.col("l_linenumber") * 40)).cast("long").alias("insights"), R.band(F.col("b.total")).alias("band"))
-
-
 # ---- screening
 
 
-def _part_index(spark: SparkSession, folder: str) -> DataFrame:
-    p = table(spark, folder, "part").groupBy("p_name").agg(F.min("p_partkey").alias("pos"))
-    return as_entities(p, index_pos=F.col("pos"), id=F.col("pos").cast("string"), name=F.col("p_name"), entity_type=F.lit("BUSINESS"), source=F.lit("US_OFAC"), source_id=F.col("pos").cast("string"), alt_names=F.array())
-
-
-def name_search(spark: SparkSession, folder: str) -> DataFrame:
-    """Distinct part names nearest to one that is typed with errors."""
-    index = written(_part_index(spark, folder))
-    return search.name_search(index, "Blu widgit", 0.5, 10).select("rank", "index_pos", "name", _r(F.col("score")).alias("score"))
-
-
-def batch_screen(spark: SparkSession, folder: str) -> DataFrame:
-    """Every distinct part type and name screened against every part name."""
-    index = written(_part_index(spark, folder))
-    p = table(spark, folder, "part")
-    asked = p.select(F.col("p_name").alias("name")).union(p.select("p_type")).distinct()
-    req = written(asked.select(F.xxhash64("name").alias("item_pos"), F.lit("r").alias("request_id"), "name", F.lit(None).cast("string").alias("entity_type"), F.lit(None).cast("string").alias("source")))
-    out = search.batch(req, index, 0.75, 5, most=None)
-    return out.select("name", "status", F.explode_outer("matches").alias("m")).select("name", "status", F.col("m.rank").alias("rank"), F.col("m.name").alias("match"), _r(F.col("m.score")).alias("score"))
-
-
 def screen_items(spark: SparkSession, folder: str) -> DataFrame:
     """All search items screened against all entities, ten matches each from 0.88 on."""
     e = table(spark, folder, "entities")
@@ -314,12 +279,6 @@ def same_sound_names(spark: SparkSession, folder: str) -> DataFrame:
     return a.join(b, (F.col("a.n") == F.col("b.n")) & (F.col("a.k") == F.col("b.k"))).where("a.p_name <= b.p_name").select(F.col("a.p_name").alias("name_a"), F.col("b.p_name").alias("name_b"))
 
 
-def word_jaro(spark: SparkSession, folder: str) -> DataFrame:
-    """Jaro and the two profiles of the name score of each part's name against its type."""
-    p = table(spark, folder, "part").select("p_name", "p_type").distinct()
-    return p.select("p_name", "p_type", _r(S.jaro_column("p_name", "p_type")).alias("jaro"), _r(S.name_score_column("p_name", "p_type")).alias("score"), _r(S.text_score_column("p_name", "p_type")).alias("text_score"), _r(S.words_score_zero("p_name", "p_type")).alias("zero_score"), _r(S.favoured_column("p_name", "p_type")).alias("favoured"))
-
-
 def jaro_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Jaro of each part's name with its type and brand."""
     p = table(spark, folder, "part").select("p_name", F.lower(F.concat_ws(" ", "p_type", "p_brand")).alias("other")).distinct()
@@ -339,32 +298,6 @@ def _as_index(e: DataFrame) -> DataFrame:
     return as_entities(e, index_pos=F.col("record_id"), id=F.col("record_id").cast("string"), name=F.col("name"), entity_type=F.upper("entity_type"), source=F.col("source_list"), person=born, addresses=F.col("addresses"), alt_names=F.col("alt_names"), government_ids=F.col("government_ids"), remarks=F.col("remarks"))
 
 
-def entity_breakdowns(spark: SparkSession, folder: str) -> DataFrame:
-    """The eight scores of all pairs of records of one list that share their source id as it is written."""
-    e = table(spark, folder, "entities")
-    key = e.where("source_id IS NOT NULL").select(F.col("record_id").alias("index_pos"), "source_list", "source_id")
-    i = _as_index(e)
-    wide = written(key.join(i, "index_pos").select("source_list", key["source_id"].alias("k"), F.struct(*[i[c] for c in i.columns]).alias("e")))
-    pairs = wide.select("source_list", "k", F.col("e").alias("q")).join(wide.select("source_list", "k", F.col("e").alias("i")), ["source_list", "k"]).where("q.index_pos < i.index_pos")
-    out = scoring.breakdown(pairs)
-    return out.select(F.col("q.index_pos").alias("record_id_a"), F.col("i.index_pos").alias("record_id_b"), *[_r(F.col(f"breakdown.{f}")).alias(f) for f in [*scoring.FACTORS, "total"]])
-
-
-def entity_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    """All comparisons of pairs of records of one list that share their source id as it is written, with coverage and importance."""
-    from ..operators.prepare import with_prepared
-
-    e = table(spark, folder, "entities")
-    key = e.where("source_id IS NOT NULL").select(F.col("record_id").alias("index_pos"), "source_list", F.col("source_id").alias("k"))
-    i = with_prepared(_as_index(e))
-    wide = written(key.join(i.drop("source_id"), "index_pos").select("source_list", "k", F.struct(*[F.lit(None).cast("string").alias(c) if c == "source_id" else F.col(c) for c in i.columns]).alias("e")))
-    pairs = wide.select("source_list", "k", F.col("e").alias("q")).join(wide.select("source_list", "k", F.col("e").alias("i")), ["source_list", "k"]).where("q.index_pos < i.index_pos")
-    out = scoring.with_pieces(pairs)
-    return out.select(F.col("q.index_pos").alias("record_id_a"), F.col("i.index_pos").alias("record_id_b"), F.explode("pieces").alias("p"), F.col("coverage.ratio").alias("coverage"), "importance").select(
-        "record_id_a", "record_id_b", "p.kind", _r(F.col("p.score")).alias("score"), "p.fields", "p.matched", "p.exact", _r(F.col("coverage")).alias("coverage"), "importance.has_name", "importance.required"
-    )
-
-
 _TOK = "list_filter(string_split({x}, ' '), lambda w: w <> '')"
 _TITLES = "|".join(t.replace(" ", "\\s") for t in W.COMPANY_TITLES)
 _EXP = {w: full for w, full in W.TITLE_WORDS.items()}
@@ -375,21 +308,21 @@ QUERIES = {
     "country_languages": country_languages, "titles": titles, "affiliation_names": affiliation_names, "sound_keys": sound_keys, "first_letter_fit": first_letter_fit, "source_and_type_filters": source_and_type_filters,
     "feed_types": feed_types, "program_lists": program_lists, "list_info": list_info, "source_rollup": source_rollup, "date_scores": date_scores, "exact_id_matches": exact_id_matches, "asset_ids": asset_ids,
     "weighted_totals": weighted_totals, "score_adjustments": score_adjustments, "mean_scores": mean_scores, "program_scores": program_scores, "batch_statistics": batch_statistics, "merge_groups": merge_groups,
-    "stable_topk": stable_topk, "trace_summaries": trace_summaries, "top_phases": top_phases, "score_texts": score_texts, "name_search": name_search, "batch_screen": batch_screen, "screen_items": screen_items, "same_sound_names": same_sound_names,
-    "word_jaro": word_jaro, "jaro_scores": jaro_scores, "prepared_fields": prepared_fields, "entity_breakdowns": entity_breakdowns, "entity_pieces": entity_pieces,
+    "stable_topk": stable_topk, "trace_summaries": trace_summaries, "top_phases": top_phases, "screen_items": screen_items, "same_sound_names": same_sound_names,
+    "jaro_scores": jaro_scores, "prepared_fields": prepared_fields,
 }
 
 _L = "length(name) < 30"
 SQL = {
-    "normalize_text": f"SELECT doc_id, md5(p) AS plain_md5, length(p) AS plain_chars FROM (SELECT doc_id, {_plain_sql('text')} AS p FROM documents)",
-    "tokenize_counts": f"SELECT doc_id, len(t) AS words, len(list_distinct(t)) AS distinct_words FROM (SELECT doc_id, {_TOK.format(x=_plain_sql('text'))} AS t FROM documents)",
+    "normalize_text": f"SELECT doc_id, md5(p) AS plain_md5, length(p) AS plain_chars FROM (SELECT doc_id, {plain_sql('text')} AS p FROM documents)",
+    "tokenize_counts": f"SELECT doc_id, len(t) AS words, len(list_distinct(t)) AS distinct_words FROM (SELECT doc_id, {_TOK.format(x=plain_sql('text'))} AS t FROM documents)",
     **{f"remove_stopwords_{k}": _stop_sql(k) for k in W.STOPWORDS},
     "detect_language": f"""SELECT item_id, split_part(g, '|', 1) AS language, split_part(g, '|', 2)::double AS confidence FROM (SELECT item_id, CASE WHEN name IS NULL OR trim(name) = '' THEN 'en|0'
       WHEN regexp_matches(name, '[\\x{{0400}}-\\x{{052f}}]') THEN 'ru|0.9' WHEN regexp_matches(name, '[\\x{{0600}}-\\x{{06ff}}\\x{{0750}}-\\x{{077f}}\\x{{08a0}}-\\x{{08ff}}]') THEN 'ar|0.9'
       WHEN regexp_matches(name, '[\\x{{4e00}}-\\x{{9fff}}\\x{{3400}}-\\x{{4dbf}}]') THEN 'zh|0.9' WHEN length(name) < 3 THEN 'en|0.5'
       WHEN {_L} AND regexp_matches(lower(name), '(^| )(the|a|of)( |$)') THEN 'en|0.8' WHEN {_L} AND regexp_matches(lower(name), '(^| )(el|la|de|del)( |$)') THEN 'es|0.8' ELSE 'en|0.5' END AS g FROM search_items)""",
     "reorder_names": "SELECT record_id, CASE WHEN contains(name, ',') THEN trim(regexp_replace(name, '^[^,]*,', '')) || ' ' || trim(split_part(name, ',', 1)) ELSE name END AS name FROM entities",
-    "company_titles": f"SELECT record_id, regexp_replace({_plain_sql('name')}, '(?:(?:{_TITLES})\\s*)+$', '') AS name FROM entities",
+    "company_titles": f"SELECT record_id, regexp_replace({plain_sql('name')}, '(?:(?:{_TITLES})\\s*)+$', '') AS name FROM entities",
     "normalize_ids": "SELECT c_custkey, lower(regexp_replace(c_name, '[^a-zA-Z0-9]', '', 'g')) AS bare, regexp_replace(c_name, '[^0-9]', '', 'g') AS digits, replace(c_name, '-', '') AS no_hyphens FROM customer",
     "phones": "SELECT o_orderkey, '1' || o_orderkey || o_custkey || 'x' AS phone FROM orders",
     "address_fields": """SELECT address_id, CASE WHEN line1 <> '' THEN lower(translate(line1, ',.', '')) END AS line1, array_to_string(list_filter(string_split_regex(trim(lower(translate(coalesce(line1, ''), ',.#', ''))), '\\s+'), lambda w: w <> ''), ' ') AS line1_words,
@@ -443,4 +376,5 @@ SQL = {
       SELECT p_name, other, round(CASE WHEN mine = '' THEN 0.0::double ELSE (length(mine) / n::double + length(mine) / m::double + (length(mine) - len(list_filter(range(1, length(mine) + 1), lambda j: substr(mine, j, 1) <> substr(theirs, j, 1))) / 2.0::double) / length(mine)) / 3.0::double END, 6) AS jaro FROM k""",
     "same_sound_names": f"""WITH p AS (SELECT p_name, len(string_split(p_name, ' ')) AS n, list_sort(list_distinct(list_transform(string_split(lower(p_name), ' '), lambda w: {_sound_sql('w')}))) AS k FROM (SELECT DISTINCT p_name FROM part))
       SELECT a.p_name AS name_a, b.p_name AS name_b FROM p a JOIN p b ON a.n = b.n AND a.k = b.k AND a.p_name <= b.p_name""",
+    **TEXT_SQL,
 }

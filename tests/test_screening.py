@@ -67,4 +67,14 @@ def test_stream(spark, tmp_path):
     q = screened(request_stream(spark, str(tmp_path / "in")), index, str(tmp_path / "out"), str(tmp_path / "cp"))
     q.processAllAvailable()
     q.stop()
-    assert {r.item_pos: r.status for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {0: "SUCCESS", 1: "NO_MATCHES", 2: "NO_MATCHES"}
+    (tmp_path / "in" / "b.json").write_text(json.dumps({"item_pos": 7, "request_id": "r", "name": "  "}))
+    import os
+
+    from lynceus.session import shared_folder
+
+    before = set(os.listdir(shared_folder(spark).removeprefix("file://")))
+    q = screened(request_stream(spark, str(tmp_path / "in")), index, str(tmp_path / "out"), str(tmp_path / "cp"))
+    q.processAllAvailable()
+    q.stop()
+    assert set(os.listdir(shared_folder(spark).removeprefix("file://"))) == before  # what a micro-batch wrote is gone with it
+    assert {r.item_pos: r.status for r in spark.read.parquet(str(tmp_path / "out")).where("item_pos < 7").collect()} == {0: "SUCCESS", 1: "NO_MATCHES", 2: "NO_MATCHES"}

@@ -24,7 +24,7 @@ OVER LINES","-",x,,,,,,,,
 def ofac(spark, tmp_path_factory):
     d = tmp_path_factory.mktemp("ofac")
     (d / "sdn.csv").write_text(SDN)
-    (d / "add.csv").write_text('36,1,"Calle 23 No 64, Vedado","Havana, HA","Cuba",""\n')
+    (d / "add.csv").write_text('36,1,"Calle 23 No 64, Vedado","Havana, HA","Cuba",""\n36,2,"five columns","Havana","Cuba"\n')
     (d / "alt.csv").write_text('7140,1,"a.k.a.","Nicolas MADURO",""\n7140,2,"a.k.a.","N. MADURO",""\n')
     return written(feeds.read_ofac(spark, *[str(d / f"{x}.csv") for x in ("sdn", "add", "alt")]))
 
@@ -35,6 +35,7 @@ def test_ofac(ofac):
     assert rows["15036"].vessel.call_sign == "UBKQ9" and rows["15036"].vessel.flag == "Russia"
     assert rows["7140"].alt_names == ["Nicolas MADURO", "N. MADURO"] and rows["7140"].sanctions.programs == ["VENEZUELA", "X", "Y"]
     a = rows["36"].addresses[0]
+    assert len(rows["36"].addresses) == 1
     assert (a.line1, a.line2, a.city, a.state, a.postal_code, a.country) == ("Calle 23 No 64, Vedado", None, "Havana", "HA", "", "Cuba")
     assert rows["36"].remarks.startswith("Calle 23") and rows["40"].name == 'QUOTED "NAME"\nOVER LINES'
     pos = [r.id for r in sorted(rows.values(), key=lambda r: r.index_pos)]
@@ -119,3 +120,62 @@ def test_merge(spark, ofac):
     assert rows["7140"].name == "MADURO MOROS, Nicolas" and rows["7140"].person.alt_names == ["MADURO MOROS, Nicolas II"] and rows["7140"].remarks == "later"
     assert rows["36"].remarks.startswith("Calle") and len(rows["36"].addresses) == 1 and rows["7140"].prepared.name == "nicolas maduro moros"
     assert merge_entities(ofac.limit(0)).count() == 0
+
+
+def test_records_are_read_in_splits(spark, tmp_path):
+    """One large file in several tasks, quoted line breaks across their borders; files in order of their names, wherever the folder lies."""
+    import csv
+    import io
+    import random
+
+    rng = random.Random(1)
+    rows = [[str(i), *["".join(rng.choice('ab,"\n \u00e9\r\n') for _ in range(rng.randint(0, 30))) for _ in range(3)]] for i in range(1200)]
+    rows[600][1] = "long\n" * 3000
+
+    def dump(folder, name, some, end):
+        b = io.StringIO(newline="")
+        csv.writer(b, lineterminator=end).writerows(some)
+        folder.mkdir(exist_ok=True)
+        (folder / name).write_bytes(("\ufeff" + b.getvalue()).encode())
+
+    for folder in ("one", "two"):
+        dump(tmp_path / folder, "part-0.csv", rows[:800], "\r\n")
+        dump(tmp_path / folder, "part-1.csv", rows[800:], "\n")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        assert spark.read.option("lineSep", "\n").text(str(tmp_path / "one")).rdd.getNumPartitions() > 8
+        got = [[(r.pos, list(r.c)) for r in feeds.fields_of(spark, str(tmp_path / f)).orderBy("pos").collect()] for f in ("one", "two")]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert [c for _, c in got[0]] == rows and got[0] == got[1]
+    (tmp_path / "empty.csv").write_text("")
+    assert feeds.fields_of(spark, str(tmp_path / "empty.csv")).count() == 0
+
+
+def test_traces(spark, ofac):
+    """A trace scores the winners again; a single search keeps its order, a batch filters and ranks anew; a failing name has its own row."""
+    from lynceus.config import Weights
+    from lynceus.functions import similarity as S
+    from lynceus.operators import trace
+
+    results, events = trace.traced_search(ofac, "nicolas maduro", 0.8)
+    r = results.first()
+    assert r.id == "7140" and r.score == r.breakdown.total == 1.0 and events.count() == 9 * results.count()
+    off, fewer = trace.traced_search(ofac, "nicolas maduro", 0.8, weights=Weights(use_alt_names=False))
+    assert off.first().score < 0.9 and fewer.count() == 8
+    req = spark.createDataFrame([(0, "r", "Nicolas Maduro", None, None), (1, "r", "PEGAS", None, None), (2, "r", "PEGAS X", None, None), (3, "r", None, None, None)], "item_pos long, request_id string, name string, entity_type string, source string")
+
+    def scorer(a, b, config):
+        if a == "pegas x":
+            raise ValueError("no score")
+        return S.read_name_score(a, b, config)
+
+    out, _ = trace.traced_batch(req, ofac, weights=Weights(use_alt_names=False), scorer=scorer)
+    got = {x.item_pos: (x.status, x.error) for x in out.collect()}
+    assert got == {0: ("NO_MATCHES", None), 1: ("SUCCESS", None), 2: ("ERROR", "no score"), 3: ("NO_MATCHES", None)}
+    asked = req.selectExpr("item_pos", "name", "CASE WHEN item_pos = 1 THEN 'Calle 23 No 64' ELSE 'Havana' END AS address", "CAST(NULL AS string) AS source_f", "CAST(NULL AS string) AS type_f")
+    found = {(x.item_pos, x.index_pos) for x in trace.address_screen(asked, ofac, 0.55).collect()}
+    assert any(p == 1 for p, _ in found) and trace.address_screen(asked.limit(0), ofac).count() == 0
