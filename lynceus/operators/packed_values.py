@@ -1,10 +1,13 @@
 """Several values packed in one field: dialects selected by minimum description length.
 
 A dialect is a set of delimiters with or without quoting. A field's description under a dialect is the dialect's own
-cost, the code of each delimiter and the code of each value. Value codes are learned from all fields: a whole value, the
-first word of a value and a word inside one cost minus log2 of their share, anything else its letters. Each field is parsed with its
-cheapest dialect; counting and parsing alternate, so codes sharpen. Only shares of at least ``MIN_SHARE`` are sent to
-the workers, so there are never more than 1 / MIN_SHARE codes of a kind, whatever the size of the data.
+cost, the code of each delimiter and the code of each value. Value codes are learned from all fields: the first word of a value, a word
+inside one and the signs after a word cost minus log2 of their share, anything else its letters. Where the values of a field are listed, each has a
+whole code. Each field is parsed with its cheapest dialect; counting and parsing alternate, so codes sharpen.
+
+Codes are distributed: the values and words that a text could hold under any of its dialects are joined to the counts of all texts, so a text
+is parsed with the very codes it needs and no table of codes is broadcast or cut. What stands in few texts has a code only if that pays:
+what it saves where it stands must exceed stating it once. Every distinct text is parsed once a round, however many rows hold it.
 """
 
 from __future__ import annotations
@@ -17,17 +20,12 @@ from functools import lru_cache
 from itertools import combinations
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..session import spread
+from ..session import spread, written
 
-MIN_SHARE = 1 / 4000
-#: A whole value has a code of its own if it is frequent; rarer ones are coded by their words.
-WHOLE_SHARE = 1 / 500
-#: What is seen fewer times is no code, in small tables too.
-LEAST_SEEN = 5
 ROUNDS = 3
 LETTER_BITS = 4.2
 # The delimiters, as patterns that also take the white space around them.
@@ -135,31 +133,68 @@ def end_remark(text: str) -> str:
     return text[:-1].rstrip() if text.endswith(".") and not re.search(r"(?:^|[\s.])\w\.$", text) else text
 
 
+WORD = re.compile(r"(\S+)(\s*)")
+
+
 def words_of(value: str) -> list[tuple[str, str]]:
-    """Words with the signs that follow them, which have codes of their own."""
-    return [(w.rstrip(",;|/.:)\"'") or w, w[len(w.rstrip(",;|/.:)\"'")) :] if w.rstrip(",;|/.:)\"'") else "") for w in value.split()]
+    """Words with the signs that follow them, which have codes of their own; white space other than one blank is such a sign."""
+    out = []
+    for w, space in WORD.findall(value):
+        bare = w.rstrip(",;|/.:)\"'")
+        out.append((bare or w, (w[len(bare) :] if bare else "") + ("" if space in ("", " ") else space)))
+    return out
+
+
+def code_key(field: str, kind: str, text: str) -> int:
+    """64 bits that stand for a value or word in counts; a collision changes the length of a code, never a value."""
+    return xxhash.xxh3_64_intdigest(f"{field}\0{kind}\0{text}".encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def keys_of(field: str, values: list[str]) -> Counter:
+    """How often (kind, key) stands in values: values, their words and signs."""
+    out: Counter = Counter()
+    for v in values:
+        out["whole", code_key(field, "whole", v)] += 1
+        for k, (w, signs) in enumerate(words_of(v)):
+            kind = "in" if k else "first"
+            out[kind, code_key(field, kind, w)] += 1
+            out["sign", code_key(field, "sign", signs)] += 1
+    return out
 
 
 class Codes:
-    """Code lengths in bits of one field's values: whole values, their first words and the words inside them."""
+    """Code lengths in bits of one text's values: their first words, the words inside them and, where they are listed, whole values. In an open
+    field a whole value has no code of its own: a text delivered twice would make one value of all that it holds.
+
+    counts: how often a key stands in all distinct texts; totals: the sums of the counts by kind; listed: keys of whole values that the field can have, None where
+    any value can stand.
+    """
 
     ESCAPE = 8.0
 
-    def __init__(self, weights: dict[tuple[str, str], float], totals: dict[str, float], closed: frozenset[str] = frozenset()) -> None:
-        self.closed = closed  # where a field's values are listed, others are rare
-        self.bits = {(kind, k): -math.log2(w / max(totals.get(kind, 0), w, 1e-9)) for (kind, k), w in weights.items() if w > 0}
+    def __init__(self, field: str, counts: dict[int, int], totals: dict[str, float], listed: set[int] | None = None) -> None:
+        self.name, self.counts, self.totals, self.listed = field, counts, totals, listed
+
+    def coded(self, kind: str, text: str, spelt: float) -> float:
+        """The cost of a code if that pays, else of spelling it out."""
+        n = self.counts.get(code_key(self.name, kind, text), 0)
+        if n < 2:
+            return spelt
+        bits = -math.log2(n / max(self.totals.get(kind, 0), n))
+        return bits if n * (spelt - bits) > spelt else spelt
 
     def word(self, kind: str, w: str, signs: str) -> float:
-        known = self.bits.get((kind, w))
-        letters = self.ESCAPE + LETTER_BITS * len(w)
-        return 1 + self.bits.get(("sign", signs), self.ESCAPE + 2 * len(signs)) + (min(known, letters) if known is not None else letters)
+        return 1 + self.coded("sign", signs, self.ESCAPE + 2 * len(signs)) + self.coded(kind, w, self.ESCAPE + LETTER_BITS * len(w))
 
     def value(self, v: str) -> float:
-        cost = sum(self.word("in" if k else "first", w, signs) for k, (w, signs) in enumerate(words_of(v)))
-        whole = self.bits.get(("whole", v))
-        if self.closed and v not in self.closed:
-            return 2 * self.ESCAPE + cost
-        return min(cost, 1 + whole) if whole is not None else cost
+        spelt = sum(self.word("in" if k else "first", w, signs) for k, (w, signs) in enumerate(words_of(v)))
+        spelt += self.ESCAPE * (v[-1] in ";,|")  # a delimiter at the end of a value is one that the dialect should have
+        if self.listed is not None:  # where a field's values are listed each has a code of its own, others are rare
+            if code_key(self.name, "whole", v) not in self.listed:
+                return 2 * self.ESCAPE + spelt
+            share = max(self.totals.get("whole", 0) / 50, self.counts.get(code_key(self.name, "whole", v), 0), 1.0) / max(self.totals.get("whole", 0), 1.0)
+            return min(spelt, 1 - math.log2(min(1.0, share)))
+        return spelt
 
     def field(self, text: str, dialect: tuple[tuple[str, ...], bool]) -> float:
         values = values_of(text, dialect)
@@ -186,69 +221,81 @@ def best(text: str, codes: Codes) -> list[str]:
 def packed_values(rows: DataFrame, key: str, fields: list[str], lexicon: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, at_least: int = 2) -> DataFrame:
     """(key, field_name, pos, value_text): one row a value of every field that holds ``at_least`` values, pos from 1.
 
-    lexicon: for a field, a one-column frame of the values it can have, each a code of its own, others being rare; it is used only if
-    it has at most 1 / MIN_SHARE rows. Null, blank and marker fields have no values; repeated rows give repeated results; an empty table
-    gives an empty result; further columns are ignored. Long texts are parsed whole.
+    lexicon: for a field, a one-column frame of the values it can have, of any size; each has a code of its own, others are rare. Null, blank and
+    marker fields have no values; repeated rows give repeated results; an empty table gives an empty result; further columns are
+    ignored. Long texts are parsed whole.
     """
-    known: dict[str, list[str]] = {}
-    for f, frame in (lexicon or {}).items():
-        listed = [r[0] for r in frame.where(F.col(frame.columns[0]).isNotNull()).distinct().limit(int(1 / MIN_SHARE) + 1).collect()]
-        known[f] = listed if len(listed) <= 1 / MIN_SHARE else []
-    # a third of all rows may hold one text: equal texts of a batch are handled once, and counts are summed before the shuffle
-    pairs = spread(rows.select(F.col(key).alias("_key"), *[F.col(f).cast("string").alias(f"f{k}") for k, f in enumerate(fields)]))
-    names = dict(enumerate(fields))
-    codes: dict[str, Codes] | None = None
-
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    named = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).cast("string").alias("text")) for f in fields]))
+    long = rows.select(F.col(key).alias("_key"), named.alias("x")).select("_key", "x.f", "x.text").where(F.trim("text") != "")
+    ident = [F.xxhash64("f", "text").alias("t1"), F.xxhash64(F.length("text"), "text", "f").alias("t2")]
+    # a third of all rows may hold one text: every text is handled once
+    texts = written(long.select("f", "text").distinct().select("f", "text", *ident))
+
+    def wanted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            weights: Counter = Counter()
-            for k, f in names.items():
-                for text, n in pdf[f"f{k}"].dropna().value_counts().items():
+            out = []
+            for t, f, text in zip(pdf["t1"], pdf["f"], pdf["text"], strict=True):
+                text = end_remark(text)
+                options = dialects(text)
+                if len(options) > 1 and text.strip().lower() not in BLANK:
+                    all_: set = set()
+                    for d in options:
+                        all_ |= keys_of(f, values_of(text, d) or []).keys()
+                    out += [(t, k) for _, k in all_]
+            yield pd.DataFrame(out, columns=["t1", "k"])
+
+    asked = written(spread(texts).mapInPandas(wanted, "t1 long, k long"))
+    listed = None
+    closed = set(lexicon or {})
+    for f, frame in (lexicon or {}).items():
+        named_values = frame.select(F.col(frame.columns[0]).cast("string").alias("v")).where("v IS NOT NULL")
+        hashed = named_values.mapInPandas(lambda bs, f=f: (pd.DataFrame({"k": [code_key(f, "whole", v) for v in pdf["v"]]}, dtype="int64") for pdf in bs), "k long").distinct()
+        listed = hashed if listed is None else listed.union(hashed)
+    known = None if listed is None else written(asked.join(listed, "k", "left_semi").groupBy("t1").agg(F.collect_set("k").alias("listed")))  # bounded by one text
+
+    def parse(counts: DataFrame | None, totals: dict[str, dict[str, float]], act, schema) -> DataFrame:
+        """act on every text and its values, parsed with the codes of the counts, or by a first guess without any."""
+        if counts is None:
+            read = texts.withColumn("codes", F.lit(None).cast("array<struct<k:long,n:long>>")).withColumn("listed", F.lit(None).cast("array<long>"))
+        else:
+            own = asked.join(counts.where("n > 1"), "k").groupBy("t1").agg(F.collect_list(F.struct("k", "n")).alias("codes"))  # bounded by one text
+            read = texts.join(own, "t1", "left")
+            read = read.join(known, "t1", "left") if known is not None else read.withColumn("listed", F.lit(None).cast("array<long>"))
+
+        guess = counts is None
+
+        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                out: list = []
+                for t1, t2, f, text, codes, some in zip(pdf["t1"], pdf["t2"], pdf["f"], pdf["text"], pdf["codes"], pdf["listed"], strict=True):
                     text = end_remark(text)
                     if text.strip().lower() in BLANK:
                         continue
-                    for v in first_guess(text) if codes is None else best(text, codes[f]):
-                        weights[f, "all", "whole"] += n
-                        weights[f, "whole", v] += n
-                        for j, (w, signs) in enumerate(words_of(v)):
-                            for kind, x in (("in" if j else "first", w[:40]), ("sign", signs[:10])):
-                                weights[f, "all", kind] += n
-                                weights[f, kind, x] += n
-            yield pd.DataFrame([(f, kind, k, w) for (f, kind, k), w in weights.items()], columns=["f", "kind", "k", "w"])
+                    if guess:
+                        values = first_guess(text)
+                    else:
+                        have = {} if codes is None else {c["k"]: c["n"] for c in codes}
+                        values = best(text, Codes(f, have, totals.get(f, {}), (set() if some is None else set(some)) if f in closed else None))
+                    act(out, t1, t2, f, values)
+                yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
+        return spread(read.select("t1", "t2", "f", "text", "codes", "listed")).mapInPandas(each, schema)
+
+    def count(out: list, t1: int, t2: int, f: str, values: list[str]) -> None:
+        out += [(f, kind, k, n) for (kind, k), n in keys_of(f, values).items()]
+
+    counts, totals = None, {}
     for _ in range(rounds):
-        sums = pairs.mapInPandas(counted, "f string, kind string, k string, w double").groupBy("f", "kind", "k").agg(F.sum("w").alias("w"))
-        totals: dict[str, dict[str, float]] = {}
-        for r in sums.where("kind = 'all'").collect():  # four rows a field
-            totals.setdefault(r.f, {})[r.k] = r.w
-        if not totals:
-            codes = {f: Codes({}, {}) for f in fields}
-            break
-        floor = F.create_map(*[F.lit(x) for f, t in totals.items() for k, w in t.items() for x in (f"{f} {k}", max(LEAST_SEEN, w * (WHOLE_SHARE if k == "whole" else MIN_SHARE)))])
-        kept = sums.where("kind <> 'all'").where(F.col("w") >= floor[F.concat_ws(" ", "f", "kind")]).collect()  # at most 1 / MIN_SHARE of a kind and field
-        codes = {}
-        for f in fields:
-            own = totals.get(f, {})
-            listed = {("whole", v): max(own.get("whole", 0) / 50, 1.0) for v in known.get(f, [])}
-            codes[f] = Codes({(r.kind, r.k): r.w for r in kept if r.f == f} | listed, own, frozenset(known.get(f, [])))
-    final = codes
-
-    def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for k, f in names.items():
-                done: dict[str, list[str]] = {}
-                for key_, text in zip(pdf["_key"], pdf[f"f{k}"], strict=True):
-                    if text is None or text != text:
-                        continue
-                    if text not in done:
-                        t = end_remark(text)
-                        done[text] = [] if t.strip().lower() in BLANK else best(t, final[f])
-                    values = done[text]
-                    if len(values) >= at_least:
-                        out += [(key_, f, p, v) for p, v in enumerate(values, 1)]
-            yield pd.DataFrame(out, columns=[key, "field_name", "pos", "value_text"])
-
-    kind = rows.schema[key].dataType
-    schema = T.StructType([T.StructField(key, kind), T.StructField("field_name", T.StringType()), T.StructField("pos", T.IntegerType()), T.StructField("value_text", T.StringType())])
-    return pairs.mapInPandas(parsed, schema)
+        counts = written(parse(counts, totals, count, "f string, kind string, k long, n long").groupBy("f", "kind", "k").agg(F.sum("n").alias("n")))
+        totals = {}
+        for r in counts.groupBy("f", "kind").agg(F.sum("n").alias("n")).collect():  # four rows a field
+            totals.setdefault(r.f, {})[r.kind] = float(r.n)
+
+    def keep(out: list, t1: int, t2: int, f: str, values: list[str]) -> None:
+        if len(values) >= at_least:
+            out.append((t1, t2, f, values))
+
+    parsed = parse(counts, totals, keep, "t1 long, t2 long, f string, values array<string>")
+    kind = rows.schema[key].dataType.simpleString()
+    out = long.select("_key", *ident).join(parsed, ["t1", "t2"]).select("_key", "f", F.posexplode("values").alias("p", "v"))
+    return out.select(F.col("_key").cast(kind).alias(key), F.col("f").alias("field_name"), (F.col("p") + 1).cast("int").alias("pos"), F.col("v").alias("value_text"))

@@ -89,3 +89,19 @@ def test_shared_folder(spark):
     assert df.count() == 10
     folder = shared_folder(spark).replace("file://", "")
     assert any(x.startswith("lynceus-") for x in os.listdir(folder))
+
+
+def test_any_number_of_listed_codes(spark):
+    """Six codes stand in three fields, however many others are listed; words of any length have codes."""
+    from lynceus.operators.packed_values import packed_values
+
+    rows = spark.createDataFrame([(1, "AAA BBB"), (2, "CCC DDD"), (3, "EEE FFF"), (4, None), (5, "-0-"), (6, " ")], "record_id long, programs string")
+    six = ["AAA", "BBB", "CCC", "DDD", "EEE", "FFF"]
+    for more in (0, 5000):
+        codes = spark.createDataFrame([(c,) for c in [*six, *[f"Z{k}" for k in range(more)]]], "code string")
+        got = packed_values(rows, "record_id", ["programs"], {"programs": codes}).collect()
+        assert sorted((r.record_id, r.pos, r.value_text) for r in got) == [(1, 1, "AAA"), (1, 2, "BBB"), (2, 1, "CCC"), (2, 2, "DDD"), (3, 1, "EEE"), (3, 2, "FFF")]
+    word = "x" * 100
+    texts = spark.createDataFrame([(k, f"{word} a{k}; {word} b{k}") for k in range(12)], "record_id long, remarks string")
+    got = packed_values(texts, "record_id", ["remarks"]).collect()
+    assert len(got) == 24 and all(r.value_text.startswith(word) for r in got)
