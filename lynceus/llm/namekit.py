@@ -43,10 +43,12 @@ TRADE = {
 }
 TRADE_OF = {short: full for full, shorts in TRADE.items() for short in shorts.split()}
 # Given names and their short forms, each line one person.
-NICK = """alexander alex sasha aleksandr sandro
+NICK = """alexander alex alec alek sasha aleksandr sandro xander
 alexandra sasha sandra aleksandra
 andrew andy drew andrei
-anthony tony antonio
+anthony tony antonio anton
+anatoly tolya anatoli
+grigori grisha grigory gregory
 barbara barb babs
 benjamin ben benny
 catherine kate cathy katya katherine kathryn katie ekaterina
@@ -68,7 +70,8 @@ george georgie yuri georgy
 gerald jerry gerry
 gregory greg grisha
 guadalupe lupe
-henry hank harry
+henry hank harry heinz heinrich
+giuseppe beppe peppe joseph
 ignacio nacho
 ivan vanya ivo
 jacob jake jakub
@@ -137,14 +140,20 @@ for _n, _line in enumerate(NICK.split("\n")):
 # What stands for "no name".
 FILLER = frozenset("test unknown none null na nil tbd xxx asdf name dummy sample anonymous".split())
 WORD = re.compile(r"[a-z]+")
+#: Cyrillic letters that no Latin letter looks like.
+CYRILLIC_ONLY = re.compile(r"[бвгджзийклнптфцчшщъыьэюяБГДЖЗИЙЛПФЦЧШЩЪЫЬЭЮЯ]")
+LATIN_LETTER = re.compile(r"[A-Za-z]")
 SOUND = [(re.compile(a), b) for a, b in (
     ("sch", "sh"), ("zh", "j"), ("kh", "h"), ("ph", "f"), ("ck", "k"), ("ch", "c"), ("ou", "u"), ("oo", "u"), ("ee", "i"), ("q", "k"), ("w", "v"), ("y", "i"),
 )]
 
 
 def latin(text: str) -> str:
-    """Lower-case Latin letters of a name, scripts and accents gone; other signs stay."""
-    text = " ".join(fold_token(t) for t in clean(text).split(" ")).lower()
+    """Lower-case Latin letters of a name, scripts and accents gone; other signs stay. A word of look-alike Cyrillic letters only is Cyrillic in
+    a name that is."""
+    tokens = clean(text).split(" ")
+    cyrillic = any(CYRILLIC_ONLY.search(t) for t in tokens)
+    text = " ".join(t if cyrillic and not LATIN_LETTER.search(t) else fold_token(t) for t in tokens).lower()
     text = "".join(CYRILLIC.get(c, c) for c in unicodedata.normalize("NFC", text))
     text = "".join(LETTERS.get(c, c) for c in text)
     return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))

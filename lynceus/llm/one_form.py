@@ -120,11 +120,11 @@ def with_one_form(df: DataFrame, column: str, output: str = "one_form", bits: di
     return df.withColumn(output, form(column))
 
 
-def names_of(entities: DataFrame) -> DataFrame:
-    """(record_id, name_pos, name): the name at 0, the elements of alt_names from 1; nulls and blanks are no names."""
+def names_of(entities: DataFrame, *more: str) -> DataFrame:
+    """(record_id, name_pos, name): the name at 0, the elements of alt_names from 1, and further columns; nulls and blanks are no names."""
     alts = F.coalesce(F.col("alt_names"), F.array().cast("array<string>"))
     return (
-        entities.select("record_id", F.posexplode(F.concat(F.array("name"), alts)).alias("name_pos", "name"))
+        entities.select("record_id", *more, F.posexplode(F.concat(F.array("name"), alts)).alias("name_pos", "name"))
         .where(F.col("name").isNotNull() & (F.trim("name") != ""))
     )
 
