@@ -1,10 +1,12 @@
 """Matching entities across sources without keys: bit vectors, multi-index Hamming hashing, calibrated confidences.
 
-Names and identifiers become bit vectors of 128 bits, one a q-gram. Two vectors within Hamming distance r agree, in at least
-one of four chunks of 32 bits, up to r // 4 bits; each vector is filed under its chunks and looked up under all values so
-near, so every pair within r is found, none by chance missed. Per field the Dice coefficient of the vectors gives a level
-of agreement; an expectation-maximisation over the counts of agreement patterns gives the weight of every level and
-a calibrated confidence. Confident pairs form entities; what only a name speaks for is taken where the name is unambiguous.
+Names and identifiers become bit vectors of 128 bits, one a q-gram of a name and two a q-gram of an identifier. Two vectors within Hamming distance r
+agree, in at least one of four chunks of 32 bits, up to r // 4 bits; each vector is filed under its chunks and looked up under all values so
+near, so every pair within r is found, none by chance missed. The Dice coefficient of the vectors of a field gives a step; every step of
+a field has a weight, the log odds of seeing it between rows of one entity and of two, and the weighted sum is the confidence.
+Weights are found by expectation-maximisation over the counts of patterns of steps; how often two rows have one identifier by chance is counted over
+all rows, not among pairs that were found by it. Every pair that comes out has the confidence of its own pattern or, if it is joined through other
+rows, of the weakest pattern on the way. Confident pairs form entities; what only a name speaks for is taken where the name is unambiguous.
 """
 
 from __future__ import annotations
@@ -24,9 +26,13 @@ from .one_form import names_of
 from .spellings import components
 
 NAME_RADIUS = 7
-ID_RADIUS = 3
+#: Two bits a q-gram keep the chunks of short identifiers from being empty; the distance counts every q-gram twice.
+ID_RADIUS = 6
 EM_ROUNDS = 60
-#: Identifiers of no meaning are told by their look; markers are words, one repeated sign, or fewer than five digits.
+#: Lowest Dice coefficients of the steps of names and identifiers, the highest being equality; below the first nothing agrees.
+NAME_STEPS = [0.7, 0.8, 0.84, 0.88, 0.93, 0.999]
+ID_STEPS = [0.8, 0.9, 2.0]
+#: Identifiers of no meaning are told by their look; markers are words, one repeated sign, a count from one, or no digit at all.
 PLACEHOLDER = re.compile(r"^(?:(.)\1*|unknown|na|none|null|tbd|pending|notavailable|0*1?2?3?4?5?6?7?8?9?0?)$")
 
 
@@ -39,13 +45,14 @@ def _signed(v: int) -> int:
     return v - (1 << 64) if v >> 63 else v
 
 
-def vector(words: list[str]) -> tuple[int, int]:
-    """Two longs with a bit for each pair of neighbouring letters, word borders included."""
+def vector(words: list[str], bits: int = 1) -> tuple[int, int]:
+    """Two longs with ``bits`` bits for each pair of neighbouring letters, word borders included."""
     v = 0
     for w in words:
         p = f"^{w}$"
         for i in range(len(p) - 1):
-            v |= 1 << bit_of(p[i : i + 2])
+            for k in range(bits):
+                v |= 1 << bit_of(p[i : i + 2] + "'" * k)
     return _signed(v), _signed(v >> 64)
 
 
@@ -54,22 +61,22 @@ def bare_id(text: str | None) -> str:
     if not text:
         return ""
     x = re.sub(r"[^a-z0-9]", "", re.sub(r"^\s*(?:no|nr|num)\b\.?", "", text.lower()))
-    return "" if PLACEHOLDER.match(x) or len(re.findall(r"\d", x)) < 5 else x
+    return "" if PLACEHOLDER.match(x) or not re.search(r"\d", x) else x
 
 
 def name_vectors(names: DataFrame) -> DataFrame:
-    """(name, v1, v2, trade) of the distinct strings that name somebody by two words or one of ten letters."""
+    """(name, v1, v2, trade) of the distinct strings that name somebody; one word of a person's name doesn't. names: (name, alone)."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for name in pdf["name"]:
+            for name, alone in zip(pdf["name"], pdf["alone"], strict=True):
                 _, words, _, trade = read(name)
-                if len(words) > 1 or len("".join(words)) >= 10:
+                if len(words) > 1 or len("".join(words)) >= 10 or (words and alone):
                     out.append((name, *vector([sound(w) for w in words]), "|".join(trade)))
             yield pd.DataFrame(out, columns=["name", "v1", "v2", "trade"])
 
-    return names.select("name").distinct().mapInPandas(parse, "name string, v1 long, v2 long, trade string")
+    return names.groupBy("name").agg(F.max("alone").alias("alone")).mapInPandas(parse, "name string, v1 long, v2 long, trade string")
 
 
 def id_vectors(entities: DataFrame) -> DataFrame:
@@ -82,7 +89,7 @@ def id_vectors(entities: DataFrame) -> DataFrame:
             out = []
             for i, raw_ in zip(pdf["record_id"], pdf["raw"], strict=True):
                 if x := bare_id(raw_):
-                    out.append((i, x, *vector([x]), ""))
+                    out.append((i, x, *vector([x], 2), ""))
             yield pd.DataFrame(out, columns=["record_id", "identifier", "v1", "v2", "trade"])
 
     return raw.mapInPandas(parse, "record_id long, identifier string, v1 long, v2 long, trade string").distinct()
@@ -139,35 +146,52 @@ def type_class(c: Column) -> Column:
     return F.when(low.isin("person", "individual"), "person").when(low.isin("vessel", "ship"), "vessel").when(low == "aircraft", "aircraft").when(low.isin("business", "organization", "entity", "company"), "company")
 
 
-def calibrated(patterns: list[tuple[tuple, int]], rounds: int = EM_ROUNDS) -> dict[tuple, float]:
-    """Probability of a match for each agreement pattern, by expectation-maximisation over pattern counts.
+class Calibration:
+    """Weights of the steps of each field; unknown fields say nothing."""
 
-    A pattern is a tuple of levels, None where a field is unknown; unknown fields say nothing. The start favours agreement,
-    so the first class is that of matches.
+    def __init__(self, m: list[dict], u: list[dict], prior: float) -> None:
+        self.m, self.u, self.prior = m, u, prior
+
+    def __call__(self, pattern: tuple) -> float:
+        """Probability that a pair of this pattern is a match; a step that was never seen weighs as the highest that was."""
+        odds = math.log(self.prior) - math.log(1 - self.prior)
+        for f, v in enumerate(pattern):
+            if v is not None and self.m[f]:
+                v = v if v in self.m[f] else max(self.m[f])
+                odds += math.log(self.m[f][v]) - math.log(self.u[f][v])
+        return 1 / (1 + math.exp(max(-500.0, min(500.0, -odds))))
+
+
+def calibrated(patterns: list[tuple[tuple, int]], rounds: int = EM_ROUNDS, chance: dict[int, tuple[int, float]] | None = None) -> Calibration:
+    """Weights by expectation-maximisation over pattern counts.
+
+    A pattern is a tuple of steps, None where a field is unknown. The start favours agreement, so the first class is that of
+    matches. chance: for a field, a step and how often two rows of different entities have it, counted elsewhere.
     """
-    if not patterns:
-        return {}
-    fields = range(len(patterns[0][0]))
+    fields = range(len(patterns[0][0])) if patterns else range(3)
     levels = [sorted({p[f] for p, _ in patterns if p[f] is not None}) for f in fields]
     top = [max(x, default=0) for x in levels]
     m = [{v: 0.9 if v == top[f] else 0.1 / max(1, len(levels[f]) - 1) for v in levels[f]} for f in fields]
     u = [{v: 0.1 if v == top[f] else 0.9 / max(1, len(levels[f]) - 1) for v in levels[f]} for f in fields]
-    prior = 0.5
-    post: dict[tuple, float] = {}
+    for f, (v, p) in (chance or {}).items():
+        if v in u[f]:
+            u[f][v] = min(u[f][v], max(p, 1e-9))
+    now = Calibration(m, u, 0.5)
+    if not patterns:
+        return now
+    all_ = sum(n for _, n in patterns)
     for _ in range(rounds):
-        for p, _n in patterns:
-            a = math.log(prior) + sum(math.log(m[f][p[f]]) for f in fields if p[f] is not None)
-            b = math.log(1 - prior) + sum(math.log(u[f][p[f]]) for f in fields if p[f] is not None)
-            post[p] = 1 / (1 + math.exp(max(-500.0, min(500.0, b - a))))
-        all_ = sum(n for _, n in patterns)
+        post = {p: now(p) for p, _ in patterns}
         yes = sum(n * post[p] for p, n in patterns)
-        prior = min(0.999, max(0.001, yes / all_))
         for f in fields:
             for side, w in ((m, lambda p: post[p]), (u, lambda p: 1 - post[p])):
                 total = sum(n * w(p) for p, n in patterns if p[f] is not None)
                 for v in levels[f]:
                     side[f][v] = (sum(n * w(p) for p, n in patterns if p[f] == v) + 0.5) / (total + 0.5 * len(levels[f]))
-    return post
+            if chance and f in chance and chance[f][0] in u[f]:
+                u[f][chance[f][0]] = min(u[f][chance[f][0]], max(chance[f][1], 1e-9))
+        now = Calibration(m, u, min(0.999, max(0.001, yes / all_)))
+    return now
 
 
 def list_id(source_id: Column) -> Column:
@@ -177,97 +201,124 @@ def list_id(source_id: Column) -> Column:
     return F.regexp_replace(dotted, r"^([a-z]+\.)?0+(?=\d)", "$1")
 
 
-def scored_pairs(entities: DataFrame) -> DataFrame:
-    """(a, b, name_level, id_level, birth_level): all pairs of records near in a name or an identifier, levels null if unknown."""
-    base = entities.select("record_id", F.col("birth_date"), type_class(F.col("entity_type")).alias("type"))
-    held = names_of(entities).select("record_id", "name").distinct()
-    vectors = written(name_vectors(held))
-    kinds = written(vectors.select("v1", "v2", "trade").distinct().withColumn("vid", F.xxhash64("v1", "v2", "trade")))
-    owners = written(held.join(vectors, "name").select("record_id", F.xxhash64("v1", "v2", "trade").alias("vid")).distinct())
-    near = with_self(written(close_vectors(kinds, NAME_RADIUS)), kinds)
+def step(value: Column, steps: list[float]) -> Column:
+    """How many of the steps a value reaches."""
+    return sum((F.when(value >= x, 1).otherwise(0) for x in steps), F.lit(0))
+
+
+class Read:
+    """What is compared of each row, read once: vectors of names and identifiers, and who has them."""
+
+    def __init__(self, entities: DataFrame) -> None:
+        kind = type_class(F.col("entity_type"))
+        self.base = entities.select("record_id", "birth_date", kind.alias("type"))
+        held = written(names_of(entities, "entity_type").select("record_id", "name", F.coalesce(kind != "person", F.lit(True)).alias("alone")).distinct())
+        vectors = written(name_vectors(held.select("name", "alone")).withColumn("vid", F.xxhash64("v1", "v2", "trade")))
+        self.kinds = vectors.select("vid", "v1", "v2", "trade").distinct()
+        self.owners = written(held.join(vectors.select("name", "vid"), "name").select("record_id", "vid").distinct())
+        ids = written(id_vectors(entities).withColumn("vid", F.xxhash64("identifier")))
+        self.id_kinds = ids.select("vid", "v1", "v2", "trade").distinct()
+        self.id_owners = ids.select("record_id", "vid").distinct()
+
+
+def scored_pairs(r: Read, rows: DataFrame) -> DataFrame:
+    """(a, b, name_level, id_level, birth_level): all pairs of the rows (record_id) near in a name or an identifier, levels null if unknown."""
+    owners, id_owners = r.owners.join(rows, "record_id", "left_semi"), r.id_owners.join(rows, "record_id", "left_semi")
+    near = with_self(written(close_vectors(r.kinds, NAME_RADIUS).where(F.col("dice") >= NAME_STEPS[0])), r.kinds)
     by_name = (
         owners.select(F.col("record_id").alias("a"), F.col("vid").alias("va")).join(near, "va").join(owners.select(F.col("record_id").alias("b"), F.col("vid").alias("vb")), "vb")
         .where("a < b").groupBy("a", "b").agg(F.max("dice").alias("name"))
     )
-    ids = written(id_vectors(entities))
-    id_kinds = written(ids.select("v1", "v2", "trade", "identifier").distinct().withColumn("vid", F.xxhash64("identifier")))
-    id_owners = ids.select("record_id", F.xxhash64("identifier").alias("vid")).distinct()
-    id_near = with_self(close_vectors(id_kinds, ID_RADIUS), id_kinds)
+    id_near = with_self(written(close_vectors(r.id_kinds, ID_RADIUS).where(F.col("dice") >= ID_STEPS[0])), r.id_kinds)
     by_id = (
         id_owners.select(F.col("record_id").alias("a"), F.col("vid").alias("va")).join(id_near, "va").join(id_owners.select(F.col("record_id").alias("b"), F.col("vid").alias("vb")), "vb")
         .where("a < b").groupBy("a", "b").agg(F.max(F.when(F.col("va") == F.col("vb"), 2.0).otherwise(F.col("dice"))).alias("id"))
     )
-    has_id = id_owners.select("record_id").distinct().withColumn("has", F.lit(True))
-    a = base.join(has_id, "record_id", "left").select(F.col("record_id").alias("a"), F.col("birth_date").alias("born_a"), F.col("type").alias("type_a"), F.col("has").alias("has_a"))
-    b = base.join(has_id, "record_id", "left").select(F.col("record_id").alias("b"), F.col("birth_date").alias("born_b"), F.col("type").alias("type_b"), F.col("has").alias("has_b"))
-    pairs = by_name.join(by_id, ["a", "b"], "full").join(a, "a").join(b, "b").where("type_a IS NULL OR type_b IS NULL OR type_a = type_b")
-    name = F.when(F.col("name").isNull(), 0).when(F.col("name") >= 0.999, 3).when(F.col("name") >= 0.88, 2).otherwise(1)
+    has_id = r.id_owners.select("record_id").distinct().withColumn("has", F.lit(True))
+    wide = r.base.join(has_id, "record_id", "left")
+    side = lambda t: wide.select(F.col("record_id").alias(t), F.col("birth_date").alias(f"born_{t}"), F.col("type").alias(f"type_{t}"), F.col("has").alias(f"has_{t}"))
+    pairs = by_name.join(by_id, ["a", "b"], "full").join(side("a"), "a").join(side("b"), "b").where("type_a IS NULL OR type_b IS NULL OR type_a = type_b")
+    name = F.when(F.col("name").isNull(), 0).otherwise(step(F.col("name"), NAME_STEPS))
     known = F.col("has_a") & F.col("has_b")
-    ident = F.when(F.col("id") == 2.0, 2).when(F.col("id") >= 0.8, 1).when(known, 0)
+    ident = F.when(F.col("id").isNotNull(), step(F.col("id"), ID_STEPS)).when(known, 0)
     return pairs.select("a", "b", name.alias("name_level"), ident.alias("id_level"), birth_level("born_a", "born_b").alias("birth_level"))
 
 
-def copy_classes(entities: DataFrame) -> DataFrame:
-    """(record_id, first, evident): rows with the same names, identifiers, birth date and type, the least of them, and whether an identifier
-    or a birth date speaks for their being one."""
-    base = entities.select("record_id", "birth_date", type_class(F.col("entity_type")).alias("type"))
-    held = names_of(entities).select("record_id", "name").distinct()
-    names = held.join(name_vectors(held), "name").groupBy("record_id").agg(F.array_sort(F.collect_set(F.xxhash64("v1", "v2", "trade"))).alias("names"))  # bounded by one row
-    ids = id_vectors(entities).groupBy("record_id").agg(F.array_sort(F.collect_set("identifier")).alias("ids"))
-    all_ = base.join(names, "record_id").join(ids, "record_id", "left")
-    signed = all_.select("record_id", F.xxhash64("names", "ids", "birth_date", "type").alias("s"), (F.col("ids").isNotNull() | F.col("birth_date").isNotNull()).alias("evident"))
+def copy_classes(r: Read) -> DataFrame:
+    """(record_id, first, has_id, has_birth): rows with the same names, identifiers, birth date and type, the least of them, and what they have."""
+    names = r.owners.groupBy("record_id").agg(F.array_sort(F.collect_set("vid")).alias("names"))  # bounded by one row
+    ids = r.id_owners.groupBy("record_id").agg(F.array_sort(F.collect_set("vid")).alias("ids"))
+    all_ = r.base.join(names, "record_id").join(ids, "record_id", "left")
+    signed = all_.select("record_id", F.xxhash64("names", "ids", "birth_date", "type").alias("s"), F.col("ids").isNotNull().alias("has_id"), F.col("birth_date").isNotNull().alias("has_birth"))
     first = signed.groupBy("s").agg(F.min("record_id").alias("first"))
-    mine = signed.join(first, "s").select("record_id", "first", "evident")
-    rest = base.join(mine, "record_id", "left_anti").select("record_id", F.col("record_id").alias("first"), F.lit(False).alias("evident"))
+    mine = signed.join(first, "s").select("record_id", "first", "has_id", "has_birth")
+    rest = r.base.join(mine, "record_id", "left_anti").select("record_id", F.col("record_id").alias("first"), F.lit(False).alias("has_id"), F.lit(False).alias("has_birth"))
     return mine.union(rest)
 
 
+def same_id_by_chance(r: Read) -> float:
+    """How often two rows that have identifiers share one: an upper bound of how often two entities do, from counts over all rows."""
+    n = r.id_owners.select("record_id").distinct().count()
+    pairs = r.id_owners.groupBy("vid").agg(F.count("*").alias("c")).agg(F.coalesce(F.sum(F.col("c") * (F.col("c") - 1.0)), F.lit(0.0))).first()[0]
+    return min(0.5, pairs / max(1.0, n * (n - 1.0)))
+
+
+TOP_NAME, TOP_ID = len(NAME_STEPS), len(ID_STEPS)
+
+
 def matched(entities: DataFrame, least: float = 0.5) -> DataFrame:
     """(record_id_a, record_id_b, confidence): pairs of rows of different lists that describe the same entity.
 
     Rows without a telling name and identifier match nothing; null types, dates and identifiers say nothing; repeated record ids
-    count as one row; an empty table gives an empty result. A pair that is not near itself but joined through other rows has
-    the least confidence of its entity.
+    count as one row; an empty table gives an empty result. Copies have the confidence of the pattern of equal rows. A pair that is not near
+    itself but joined through other rows has the least confidence of its entity.
     """
     rows = entities.dropDuplicates(["record_id"])
+    r = Read(rows)
     # rows that read the same in every field are one class; only its first row is compared, so a third of all rows
     # being copies of one another costs no pairs
-    copies = written(copy_classes(rows))
-    pairs = written(scored_pairs(rows.join(copies.where("record_id = first").select("record_id"), "record_id")))
+    copies = written(copy_classes(r))
+    pairs = written(scored_pairs(r, copies.where("record_id = first").select("record_id")))
     levels = ["name_level", "id_level", "birth_level"]
-    counts = [((r.name_level, r.id_level, r.birth_level), r.n) for r in pairs.groupBy(*levels).agg(F.count("*").alias("n")).collect()]  # at most 64 patterns
-    chance = calibrated(counts)
+    counts = [((x.name_level, x.id_level, x.birth_level), x.n) for x in pairs.groupBy(*levels).agg(F.count("*").alias("n")).collect()]  # at most 7 * 5 * 4 patterns
+    chance = calibrated(counts, chance={1: (TOP_ID, same_id_by_chance(r))})
     spark = entities.sparkSession
-    scale = spark.createDataFrame([(*p, float(c)) for p, c in chance.items()], "name_level int, id_level int, birth_level int, confidence double")
+    scale = spark.createDataFrame([(*p, float(chance(p))) for p, _ in counts], "name_level int, id_level int, birth_level int, confidence double")
     same = [pairs[c].eqNullSafe(scale[c]) for c in levels]
     judged = pairs.join(F.broadcast(scale), same[0] & same[1] & same[2]).select("a", "b", *[pairs[c] for c in levels], "confidence")
-    # an equal identifier that no birth date speaks against is evidence of its own, whatever the counts say of its pattern
-    same_id = F.coalesce((F.col("id_level") == 2) & (F.coalesce("birth_level", F.lit(1)) > 0), F.lit(False))
-    same_birth = F.coalesce((F.col("birth_level") > 0) & (F.col("name_level") > 0), F.lit(False)) & (F.col("confidence") >= least)
-    against = F.coalesce(F.col("birth_level") == 0, F.lit(False)) & F.coalesce(F.col("id_level") < 2, F.lit(True)) & (F.col("name_level") > 0)
-    judged = written(judged.withColumn("kind", F.when(same_id | same_birth, "strong").when(against, "against").when((F.col("name_level") > 0) & (F.col("confidence") >= least), "weak")).where("kind IS NOT NULL"))
-    alike = copies.where("record_id <> first")
-    judged_copies = alike.where("NOT evident").select(F.col("first").alias("a"), F.col("record_id").alias("b"), F.lit("weak").alias("kind"))
-    # rows of one list under one id of that list are deliveries of one record
-    own = rows.where("source_id IS NOT NULL").select("record_id", F.xxhash64("source_list", list_id(F.col("source_id"))).alias("k"))
-    first = own.groupBy("k").agg(F.min("record_id").alias("x"))
-    repeats = own.join(first, "k").where("record_id <> x").select("x", F.col("record_id").alias("y"))
-    strong = judged.where("kind = 'strong'").select(F.col("a").alias("x"), F.col("b").alias("y")).union(repeats).union(alike.where("evident").select(F.col("first").alias("x"), F.col("record_id").alias("y")))
+    sure = F.col("confidence") >= least
+    same_id = F.coalesce((F.col("id_level") == TOP_ID) & (F.coalesce("birth_level", F.lit(1)) > 0), F.lit(False)) & sure
+    same_birth = F.coalesce((F.col("birth_level") > 0) & (F.col("name_level") > 0), F.lit(False)) & sure
+    against = F.coalesce(F.col("birth_level") == 0, F.lit(False)) & F.coalesce(F.col("id_level") < TOP_ID, F.lit(True)) & (F.col("name_level") > 0)
+    judged = written(judged.withColumn("kind", F.when(same_id | same_birth, "strong").when(against, "against").when((F.col("name_level") > 0) & sure, "weak")).where("kind IS NOT NULL"))
+    equal = F.when(F.col("has_id") & F.col("has_birth"), chance((TOP_NAME, TOP_ID, 2))).when(F.col("has_id"), chance((TOP_NAME, TOP_ID, None))).when(F.col("has_birth"), chance((TOP_NAME, None, 2))).otherwise(chance((TOP_NAME, None, None)))
+    alike = copies.where("record_id <> first").withColumn("confidence", equal)
+    evident = F.col("has_id") | F.col("has_birth")
+    judged_copies = alike.where(~evident).select(F.col("first").alias("a"), F.col("record_id").alias("b"), F.lit("weak").alias("kind"))
+    strong = judged.where("kind = 'strong'").select(F.col("a").alias("x"), F.col("b").alias("y")).union(alike.where(evident).select(F.col("first").alias("x"), F.col("record_id").alias("y")))
     one = written(components(rows.select("record_id"), strong, "record_id"))
-    # by a name alone: groups of entities that share a name and hold no contradiction become one
-    ra, rb = one.select(F.col("record_id").alias("a"), F.col("root").alias("x")), one.select(F.col("record_id").alias("b"), F.col("root").alias("y"))
-    between = written(judged.where("kind <> 'strong'").select("a", "b", "kind").union(judged_copies).join(ra, "a").join(rb, "b").where("x <> y").select("x", "y", "kind").distinct())
-    wide = components(one.select(F.col("root").alias("record_id")).distinct(), between.where("kind = 'weak'").select("x", "y"), "record_id")
-    contradicted = between.where("kind = 'against'").join(wide.select(F.col("record_id").alias("x"), F.col("root").alias("wx")), "x").join(wide.select(F.col("record_id").alias("y"), F.col("root").alias("wy")), "y").where("wx = wy").select(F.col("wx").alias("root")).distinct()
-    wide = wide.join(contradicted.withColumn("bad", F.lit(True)), "root", "left").select("record_id", F.when(F.col("bad"), F.col("record_id")).otherwise(F.col("root")).alias("entity"))
-    entity = written(one.join(wide.withColumnRenamed("record_id", "root"), "root").select("record_id", "entity"))
-    sure = judged.where("kind <> 'against'").join(entity.select(F.col("record_id").alias("a"), "entity"), "a").groupBy("entity").agg(F.min("confidence").alias("low"))
+    # by a name alone: groups of entities that share a name and hold no contradiction become one; equal names before near ones, so a
+    # contradiction among near names leaves the groups of equal names as they are
+    entity = one.withColumnRenamed("root", "entity")
+    loose = written(judged.where("kind <> 'strong'").select("a", "b", "kind", F.col("name_level").cast("int").alias("level")).union(judged_copies.select("a", "b", "kind", F.lit(TOP_NAME).alias("level"))))
+    for lowest in (TOP_NAME, 1):
+        ra, rb = entity.select(F.col("record_id").alias("a"), F.col("entity").alias("x")), entity.select(F.col("record_id").alias("b"), F.col("entity").alias("y"))
+        between = written(loose.where(F.col("level") >= lowest).join(ra, "a").join(rb, "b").where("x <> y").select("x", "y", "kind").distinct())
+        wide = written(components(entity.select(F.col("entity").alias("record_id")).distinct(), between.where("kind = 'weak'").select("x", "y"), "record_id"))
+        bad = between.where("kind = 'against'").join(wide.select(F.col("record_id").alias("x"), F.col("root").alias("wx")), "x").join(wide.select(F.col("record_id").alias("y"), F.col("root").alias("wy")), "y").where("wx = wy").select(F.col("wx").alias("root")).distinct()
+        wide = wide.join(bad.withColumn("bad", F.lit(True)), "root", "left").select(F.col("record_id").alias("entity"), F.when(F.col("bad"), F.col("record_id")).otherwise(F.col("root")).alias("new"))
+        entity = written(entity.join(wide, "entity").select("record_id", F.col("new").alias("entity")))
+    weakest = judged.where("kind <> 'against'").select("a", "confidence").union(alike.select(F.col("first").alias("a"), "confidence")).join(entity.select(F.col("record_id").alias("a"), "entity"), "a").groupBy("entity").agg(F.min("confidence").alias("low"))
+    # pairs are formed between the first rows of classes of copies, each judged once, then given to their members
     lists = rows.select("record_id", "source_list")
-    member = entity.join(lists, "record_id")
-    left = member.select("entity", F.col("record_id").alias("a"), F.col("source_list").alias("la"))
-    right = member.select("entity", F.col("record_id").alias("b"), F.col("source_list").alias("lb"))
-    out = left.join(right, "entity").where("a < b AND la <> lb").join(judged.where("kind <> 'against'").select("a", "b", "confidence"), ["a", "b"], "left").join(sure, "entity", "left")
-    return out.select(F.col("a").alias("record_id_a"), F.col("b").alias("record_id_b"), F.round(F.coalesce("confidence", "low", F.lit(least)), 6).alias("confidence"))
+    member = written(entity.join(lists, "record_id").join(copies.select("record_id", "first"), "record_id"))
+    left = member.select("entity", F.col("record_id").alias("a"), F.col("source_list").alias("la"), F.col("first").alias("fa"))
+    right = member.select("entity", F.col("record_id").alias("b"), F.col("source_list").alias("lb"), F.col("first").alias("fb"))
+    own = judged.where("kind <> 'against'").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), "confidence")
+    out = left.join(right, "entity").where("a < b AND la <> lb").withColumn("lo", F.least("fa", "fb")).withColumn("hi", F.greatest("fa", "fb"))
+    out = out.join(own, ["lo", "hi"], "left").join(weakest, "entity", "left").join(alike.select(F.col("first").alias("lo"), F.col("confidence").alias("equal")).distinct(), "lo", "left")
+    confidence = F.when(F.col("lo") == F.col("hi"), F.col("equal")).otherwise(F.coalesce("confidence", "low"))
+    return out.select(F.col("a").alias("record_id_a"), F.col("b").alias("record_id_b"), F.round(confidence, 6).alias("confidence"))
 
 
 def p7_matches(spark: SparkSession, folder: str) -> DataFrame:
