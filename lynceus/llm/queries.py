@@ -9,10 +9,10 @@ from .one_form import p5_found
 from .packing import p8_packing, p8_report
 from .shared_spans import p10_coverage, p10_found, p10_passages
 from .spellings import p1_found
-from .survivors import p2_found
+from .survivors import p2_found, p2_masked
 
 QUERIES = {
-    "p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p7_matches": p7_matches, "p8_packing": p8_packing, "p8_report": p8_report, "p9_selection": p9_selection, "p9_shares": p9_shares,
+    "p1_found": p1_found, "p2_found": p2_found, "p2_masked": p2_masked, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p7_matches": p7_matches, "p8_packing": p8_packing, "p8_report": p8_report, "p9_selection": p9_selection, "p9_shares": p9_shares,
     "p10_found": p10_found, "p10_coverage": p10_coverage, "p10_passages": p10_passages,
 }
 _ID = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(source_id)), '^(\\d+)\\.0+$', '\\1'), '[\\s._/-]+', '.', 'g'), '^([a-z]+)\\.?(\\d)', '\\1.\\2'), '^([a-z]+\\.)?0+(\\d)', '\\1\\2')"

@@ -1,10 +1,10 @@
 """Best representative of each duplicate group: currency reasoning.
 
-The latest filled value of a field survives. Where timestamps tell the order, an aggregation finds it. Where some are missing,
-order is reasoned: from rows with timestamps the operator learns which states of a record follow which (how full each field
-is, how the name is written), over consecutive rows of all groups. In a group with missing timestamps, rows are reduced
-to one for each state, so a group is never larger than the number of states; known times and learned precedences make a
-partial order, whose topologically latest filled element gives the value.
+The latest filled value of a field survives. From rows with timestamps the operator learns which states of a record follow which (how full each
+field is, how the name is written), over consecutive rows of all groups. Rows of a group are reduced to one for each state and field, so a group is
+never larger than the number of states. Known times make a chain of them, learned precedences place the rows without a time, the
+surest first; the topologically latest filled element of this partial order gives the value. All groups go this way, whether times are missing
+or not: where every time is known the order is that of the times.
 """
 
 from __future__ import annotations
@@ -69,51 +69,46 @@ def learned_precedence(rows: DataFrame, group: list[str], at: str, states: list[
 def topologically_latest(times: list, states: list[tuple[int, ...]], fields: list[str], precedence: dict, filled: list[bool], fullness: list[int], ids: list) -> int | None:
     """Position of the latest filled element: last level of the partial order, then the fullest, then the least id.
 
-    Known times order their elements; other pairs are ordered by their learned log odds, the surest first; an order that would
-    close a circle is left out.
+    Known times order their elements as a chain; elements without a time are ordered against all others by their learned log odds, the
+    surest first; an order that would close a circle is left out. What is reachable is kept as bits, so an order that is implied costs nothing.
     """
     n = len(ids)
+    reach = [0] * n  # bits of the elements after this one
+    below = [1 << i for i in range(n)]  # this one and all before it
+
+    def put(i: int, j: int) -> None:
+        if i == j or reach[i] >> j & 1 or reach[j] >> i & 1:
+            return
+        after, before = reach[j] | 1 << j, below[i]
+        for k in range(n):
+            if before >> k & 1:
+                reach[k] |= after
+            if after >> k & 1:
+                below[k] |= before
+
+    levels: dict = defaultdict(list)
+    for i, t in enumerate(times):
+        if t is not None:
+            levels[t].append(i)
+    chain = [levels[t] for t in sorted(levels)]
+    for earlier, later in zip(chain, chain[1:], strict=False):
+        for i in earlier:
+            for j in later:
+                put(i, j)
     edges = []
     for i in range(n):
         for j in range(n):
-            if i == j:
-                continue
-            if times[i] is not None and times[j] is not None:
-                if times[i] < times[j]:
-                    edges.append((math.inf, i, j))
-            else:
+            if i != j and (times[i] is None or times[j] is None):
                 w = sum(precedence.get((f, states[i][k], states[j][k]), 0.0) - precedence.get((f, states[j][k], states[i][k]), 0.0) for k, f in enumerate(fields))
                 if w > 0:
                     edges.append((w, i, j))
-    after: dict[int, set[int]] = defaultdict(set)
-
-    def reaches(a: int, b: int) -> bool:
-        todo, seen = [a], {a}
-        while todo:
-            x = todo.pop()
-            if x == b:
-                return True
-            new = after[x] - seen
-            seen |= new
-            todo += new
-        return False
-
     for _, i, j in sorted(edges, key=lambda e: (-e[0], e[1], e[2])):
-        if not reaches(j, i):
-            after[i].add(j)
+        put(i, j)
     depth = [0] * n
-    indegree = [0] * n
-    for i in range(n):
-        for j in after[i]:
-            indegree[j] += 1
-    ready = [i for i in range(n) if not indegree[i]]
-    while ready:
-        i = ready.pop()
-        for j in after[i]:
-            depth[j] = max(depth[j], depth[i] + 1)
-            indegree[j] -= 1
-            if not indegree[j]:
-                ready.append(j)
+    for i in sorted(range(n), key=lambda i: below[i].bit_count()):  # whatever is before an element has fewer before it
+        for k in range(n):
+            if k != i and below[i] >> k & 1:
+                depth[i] = max(depth[i], depth[k] + 1)
     best = [i for i in range(n) if filled[i]]
     return max(best, key=lambda i: (depth[i], fullness[i], -ids[i])) if best else None
 
@@ -123,8 +118,8 @@ def survivors(rows: DataFrame, group: list[str], key: str, at: str, fills: dict[
 
     fills: for each surviving field how full it is, 0 if it isn't filled at all. group_<key> is the least key of the group; a field's
     key is that of the row whose value survives, null where no row has it filled. Rows with a null in a group column belong to
-    no group; rows that repeat a key count once; ties in time go to the fullest, then to the least key; an empty table
-    gives an empty result.
+    no group; rows that repeat a key count once; ties in time go to the fullest, then to the least key, as do elements that nothing orders; an
+    empty table gives an empty result.
     """
     names = list(fills)
     states = [f"_s_{k}" for k in range(len(fills) + len(further_states or {}))]
@@ -135,35 +130,30 @@ def survivors(rows: DataFrame, group: list[str], key: str, at: str, fills: dict[
     for g in group:
         base = base.where(F.col(g).isNotNull())
     base = written(base)
-    latest = [F.max_by("_id", F.when(F.col(f"_f_{n}") > 0, F.struct("_at", F.col(f"_f_{n}").alias("f"), (-F.col("_id")).alias("i")))).alias(f"{n}_{key}") for n in names]
-    groups = base.groupBy(*group).agg(F.count("*").alias("members"), F.min("_id").alias(f"group_{key}"), F.max(F.col("_at").isNull()).alias("_open"), *latest).where("members > 1")
-    groups = written(groups)
-    columns = [*group, f"group_{key}", *[f"{n}_{key}" for n in names], "members"]
-    closed = groups.where("NOT _open").select(*columns)
-    open_ = groups.where("_open")
-    if open_.limit(1).count() == 0:
-        return closed
+    groups = written(base.groupBy(*group).agg(F.count("*").alias("members"), F.min("_id").alias(f"group_{key}")).where("members > 1"))
     precedence = learned_precedence(base, group, "_at", states)
-    filled = [F.when(F.col(f"_f_{n}") > 0, 1).otherwise(0).alias(f"_b_{n}") for n in names]
-    some = base.join(open_.select(*group), group).withColumn("_none", F.col("_at").isNull()).select("*", *filled)
-    flags = [f"_b_{n}" for n in names]
-    # one row for each state of a group: the latest of those with a time, the fullest of those without
-    one = some.groupBy(*group, "_none", *states, *flags).agg(F.max_by(F.struct("_id", "_at", *[f"_f_{n}" for n in names]), F.struct("_at", *[f"_f_{n}" for n in names], (-F.col("_id")).alias("i"))).alias("r"))
-    small = one.select(*group, "_none", *states, *flags, "r.*")
+    some = base.join(groups.select(*group), group)
+    # one row for each state of a group and field: the latest of those with a time, the fullest of those without
+    per = F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.col(f"_f_{n}").alias("full")) for n in names])).alias("x")
+    long = some.select(*group, "_id", "_at", *states, per).select(*group, "_id", "_at", *states, "x.field", "x.full").where("full > 0")
+    one = long.groupBy(*group, "field", *states, F.col("_at").isNull().alias("_none")).agg(F.max_by(F.struct("_id", "_at", "full"), F.struct("_at", "full", (-F.col("_id")).alias("i"))).alias("r"))
+    small = one.select(*group, "field", *states, "r.*")
 
     def reason(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = pdf["_id"].tolist()
         times = [None if t is pd.NaT or t != t else t for t in pdf["_at"]]
         st = list(pdf[states].itertuples(index=False, name=None))
-        out = {g: [pdf[g].iloc[0]] for g in group}
-        for n in names:
-            p = topologically_latest(times, st, states, precedence, (pdf[f"_f_{n}"] > 0).tolist(), pdf[f"_f_{n}"].tolist(), ids)
-            out[f"{n}_{key}"] = [None if p is None else ids[p]]
-        return pd.DataFrame(out).astype({f"{n}_{key}": "Int64" for n in names})
+        full = pdf["full"].tolist()
+        p = 0 if len(ids) == 1 else topologically_latest(times, st, states, precedence, [True] * len(ids), full, ids)
+        return pd.DataFrame({**{g: [pdf[g].iloc[0]] for g in group}, "field": [pdf["field"].iloc[0]], "_best": [ids[p]]})
 
     kinds = ", ".join(f"`{g}` {rows.select(g).schema[0].dataType.simpleString()}" for g in group)
-    reasoned = small.groupBy(*group).applyInPandas(reason, f"{kinds}, " + ", ".join(f"`{n}_{key}` long" for n in names))
-    return closed.union(open_.select(*group, f"group_{key}", "members").join(reasoned, group).select(*columns))
+    # groups of a single state need no order
+    lone = small.groupBy(*group, "field").agg(F.count("*").alias("n"), F.first("_id").alias("_best")).where("n = 1").drop("n")
+    rest = small.join(lone.select(*group, "field"), [*group, "field"], "left_anti")
+    best = lone.unionByName(rest.groupBy(*group, "field").applyInPandas(reason, f"{kinds}, field string, _best long"))
+    chosen = best.groupBy(*group).agg(*[F.max(F.when(F.col("field") == n, F.col("_best"))).alias(f"{n}_{key}") for n in names])
+    return groups.join(chosen, group, "left").select(*group, f"group_{key}", *[f"{n}_{key}" for n in names], "members")
 
 
 def entity_survivors(entities: DataFrame) -> DataFrame:
@@ -177,3 +167,26 @@ def entity_survivors(entities: DataFrame) -> DataFrame:
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """One row for each group of entities rows with the same list and the same source id."""
     return entity_survivors(table(spark, folder, "entities")).select("group_record_id", "addresses_record_id", "remarks_record_id")
+
+
+def masked_agreement(entities: DataFrame, share: float = 0.3) -> DataFrame:
+    """(field, groups, same, recall): how often the survivors are those that the full times give when a share of the times is taken away.
+
+    What the times of a group say is held back by a hash of the record id; groups that keep all their times aren't counted.
+    """
+    hidden = F.pmod(F.xxhash64(F.lit("mask"), "record_id"), F.lit(1000)) < F.lit(int(share * 1000))
+    names = ("addresses", "remarks")
+    known = written(entity_survivors(entities))
+    masked = entities.withColumn("updated_at", F.when(~hidden, F.col("updated_at")))
+    told = written(entity_survivors(masked))
+    keys = ["source_list", "_list_id"]
+    open_ = masked.withColumn("_list_id", list_id(F.col("source_id"))).where("updated_at IS NULL").select(*keys).distinct()
+    both = known.join(open_, keys, "left_semi").join(told.select(*keys, *[F.col(f"{n}_record_id").alias(f"{n}_told") for n in names]), keys)
+    long = both.select(F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.col(f"{n}_record_id").alias("want"), F.col(f"{n}_told").alias("got")) for n in names])).alias("x")).select("x.*").where("want IS NOT NULL")
+    out = long.groupBy("field").agg(F.count("*").alias("groups"), F.count_if(F.col("want") == F.col("got")).alias("same"))
+    return out.withColumn("recall", F.round(F.try_divide("same", "groups"), 4))
+
+
+def p2_masked(spark: SparkSession, folder: str) -> DataFrame:
+    """Survivors where three tenths of the times are hidden, against those of the full times."""
+    return masked_agreement(table(spark, folder, "entities"))
