@@ -1,6 +1,7 @@
 """Same postal address written differently: expansion into plausible forms, hashed component combinations, equi-join.
 
-An address is expanded into every form that its words allow: a last word of line1 may be part of the street or the city.
+An address is expanded into every form that its words allow: a last word of line1 may be part of the street or the city, a number may be a range,
+an abbreviation may stand for several words, words may stand in another order, and the street may be in line2.
 Each form gives hashes of component combinations, all with the house number: the street with no or one letter deleted, and
 the city with the street's beginning or end. Forms that share a hash are compared; conflicting house numbers never
 meet, conflicting cities, countries, street types, postal codes or states reject a pair. Equal forms are one class, so copies
@@ -16,19 +17,24 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.normalize import country_names
 from ..session import table, written
 from .namekit import latin, sound
 
 # Street types and their short forms; a short form may stand for several.
 STREET_TYPES = {
-    "avenue": "avenue ave av", "avenida": "avenida avda av", "boulevard": "boulevard blvd bd boul", "calle": "calle cl c", "lane": "lane ln", "prospekt": "prospekt prosp pr prospect prkt",
-    "road": "road rd", "rue": "rue r", "square": "square sq", "street": "street str st", "ulitsa": "ulitsa ulica ul",
+    "alley": "alley aly", "avenue": "avenue ave av", "avenida": "avenida avda av", "boulevard": "boulevard blvd bd boul", "bulvar": "bulvar bulv", "calle": "calle cl c", "camino": "camino cno", "carrera": "carrera cra kra", "caddesi": "caddesi cad cd",
+    "chaussee": "chaussee chee", "circle": "circle cir", "close": "close", "corso": "corso", "court": "court ct", "crescent": "crescent cres", "drive": "drive drv", "highway": "highway hwy", "jalan": "jalan jln", "lane": "lane ln", "naberezhnaya": "naberezhnaya nab",
+    "parkway": "parkway pkwy", "paseo": "paseo", "pereulok": "pereulok per", "piazza": "piazza pza", "place": "place pl", "platz": "platz", "plaza": "plaza plz", "prospekt": "prospekt prosp pr prospect prkt", "quai": "quai", "road": "road rd", "rua": "rua", "rue": "rue r",
+    "shosse": "shosse", "sokak": "sokak sok sk", "square": "square sq", "strasse": "strasse", "street": "street str st", "terrace": "terrace ter terr", "travessa": "travessa tv", "ulitsa": "ulitsa ulica ul", "viale": "viale", "way": "way",
 }
+# Abbreviations inside names of streets and towns.
+INSIDE = {"st": "saint", "ste": "sainte", "sta": "santa", "mt": "mount", "ft": "fort", "gen": "general", "col": "colonel", "pres": "president", "dr": "doctor", "prof": "professor", "nth": "north", "sth": "south", "gt": "great", "upr": "upper", "lwr": "lower"}
 TYPES_OF: dict[str, list[str]] = {}
 for _full, _shorts in STREET_TYPES.items():
     for _s in _shorts.split():
         TYPES_OF.setdefault(_s, []).append(_full)
-# Names and codes of countries, each line one country.
+# Formal and older names of countries, each line one country; codes and English names of all others are those of the JVM's locale data.
 COUNTRIES = """belarus, by, blr, republic of belarus
 china, cn, chn, prc, people s republic of china, peoples republic of china
 colombia, co, col, republic of colombia
@@ -71,40 +77,79 @@ def words_of(text: str) -> list[str]:
     return re.findall(r"[a-z0-9]+", text)
 
 
-def country_of(text: str | None) -> str:
+#: Words that formal names of countries add; what is left must be a name of its own.
+FORMAL = re.compile(r"^(?:the )?(?:(?:people s|peoples|islamic|federal|democratic|arab|bolivarian|socialist|plurinational|hashemite|grand|united) )*(?:republic|kingdom|state|states|commonwealth|federation|duchy|principality|sultanate|union|fed rep) of (?:the )?")
+#: Names that the formal words tell apart.
+TOLD_APART = frozenset(("korea", "congo", "china"))
+
+
+def known_countries(spark: SparkSession) -> dict[str, str]:
+    """Names and codes of all countries, each to one name: a few hundred, whatever the data."""
+    out = {" ".join(words_of(latin(r.key))): " ".join(words_of(latin(r.name))) for r in country_names(spark).collect()}
+    return out | {x.strip(): out.get(line.split(",")[0].strip(), line.split(",")[0]) for line in COUNTRIES.split("\n") for x in line.split(",")}
+
+
+def country_of(text: str | None, known: dict[str, str] = COUNTRY_OF) -> str:
+    """One name for a country however it is written; "" for a text that names none, which says nothing and contradicts nothing."""
     low = " ".join(words_of(latin(text))) if text else ""
-    return "" if low in MARKERS else COUNTRY_OF.get(low, low)
+    if low in known:
+        return known[low]
+    bare = FORMAL.sub("", low)
+    return known.get(bare, "") if bare != low and bare not in TOLD_APART else ""
 
 
 def forms_of(line1: str | None, line2: str | None, city: str | None) -> list[tuple[str, str, list[str], str]]:
-    """Plausible (house number, street, street types, city); none without a house number and a street."""
-    text = NUMBER_SIGN.sub(" ", (line1 or "").lower().replace("№", " "))
+    """Plausible (house number, street, street types, city); none without a house number and a street.
+
+    line2 is read where it holds a number and a street of its own, or what line1 lacks.
+    """
+    out = line_forms(line1, city)
+    if line2 and line2.strip():
+        out += line_forms(line2, city) or ([] if out else line_forms(f"{line1 or ''} , {line2}", city))
+    return list({(n, s, tuple(t), c): (n, s, t, c) for n, s, t, c in out}.values())
+
+
+def line_forms(line: str | None, city: str | None) -> list[tuple[str, str, list[str], str]]:
+    text = NUMBER_SIGN.sub(" ", (line or "").lower().replace("№", " "))
     text = NUMBER_SIGN.sub(" ", latin(text))
     if " ".join(words_of(text)) in MARKERS:
         return []
     text = UNIT.sub(" , ", re.sub(r"\bpr[ -]kt\b", "prkt", text))
     words = words_of(text)
     numbers = [w for w in words if re.fullmatch(r"\d+[a-z]?", w)]
-    names = [w for w in words if not w[0].isdigit() and w not in ("no", "nr", "n", "num")]
-    typed = [w for w in names if w in TYPES_OF]
-    street = [w for w in names if w not in TYPES_OF]
-    if not street and len(typed) > 1:  # a street named like a type
-        street, typed = typed[1:], typed[:1]
-    if not numbers or not street:
-        return []
-    types = sorted({t for w in typed for t in TYPES_OF[w]})
     town = " ".join(words_of(latin(city))) if city else ""
-    town = "" if town in MARKERS else sound(town.replace(" ", ""))
+    towns = [""] if town in MARKERS else readings(town.split())
+    ranged = re.search(r"\b(\d+[a-z]?) ?[-–/] ?(\d+[a-z]?)\b", text)
+    houses = list(ranged.groups()) if ranged and ranged.group(1) == (numbers or [""])[0] else numbers[:1]
+    names = [w for w in words if not w[0].isdigit() and w not in ("no", "nr", "n", "num")]
     out = []
-    if town or len(street) == 1:
-        out.append((numbers[0], sound("".join(street)), types, town))
-    if len(street) > 1:  # the last words may be the city's
-        out += [(numbers[0], sound("".join(street[:k])), types, sound("".join(street[k:]))) for k in range(1, len(street))]
+    for as_type in {True, not any(w in INSIDE and w in TYPES_OF for w in names[:-1])}:
+        # an abbreviation that is a street type and a word of names, as "st", is read both ways unless it ends the line
+        typed = [w for k, w in enumerate(names) if w in TYPES_OF and (as_type or w not in INSIDE or k == len(names) - 1)]
+        street = [w for k, w in enumerate(names) if not (w in TYPES_OF and (as_type or w not in INSIDE or k == len(names) - 1))]
+        if not street and len(typed) > 1:  # a street named like a type
+            street, typed = typed[1:], typed[:1]
+        if not street:
+            continue
+        types = sorted({t for w in typed for t in TYPES_OF[w]})
+        for number in houses:
+            if any(towns) or len(street) == 1:
+                out += [(number, s, types, t) for s in readings(street, True) for t in towns]
+            if len(street) > 1:  # the last words may be the city's
+                out += [(number, s, types, t) for k in range(1, len(street)) for s in readings(street[:k], True) for t in readings(street[k:])]
     return out
 
 
+def readings(words: list[str], orders: bool = False) -> list[str]:
+    """The words as one sounded text: as written, with abbreviations written out, and, of streets of several words, in alphabetical order."""
+    full = [INSIDE.get(w, w) for w in words]
+    out = [words, full] + ([sorted(words), sorted(full)] if orders and len(words) > 1 else [])
+    return list(dict.fromkeys(sound("".join(x)) for x in out))
+
+
 def expanded(addresses: DataFrame, key: str) -> DataFrame:
     """(key, number, street, types, city, country, state, postal): one row a plausible form."""
+    countries = known_countries(addresses.sparkSession)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -114,7 +159,7 @@ def expanded(addresses: DataFrame, key: str) -> DataFrame:
                 if k not in known:
                     known[k] = forms_of(a, b, c)
                 if known[k]:
-                    rest = (country_of(n), " ".join(words_of(latin(s or ""))), "".join(words_of(latin(p or ""))))
+                    rest = (country_of(n, countries), " ".join(words_of(latin(s or ""))), "".join(words_of(latin(p or ""))))
                     rest = tuple("" if x in MARKERS else x for x in rest)
                     out += [(i, *f, *rest) for f in known[k]]
             yield pd.DataFrame(out, columns=[key, "number", "street", "types", "city", "country", "state", "postal"])
