@@ -256,11 +256,12 @@ def copy_classes(r: Read) -> DataFrame:
     return mine.union(rest)
 
 
-def same_id_by_chance(r: Read) -> float:
-    """How often two rows that have identifiers share one: an upper bound of how often two entities do, from counts over all rows."""
+def same_id_by_chance(r: Read, counts: list[tuple[tuple, int]]) -> float:
+    """How often two rows of different entities have one identifier: pairs that share one though their birth dates differ, over all pairs of rows
+    that have identifiers."""
     n = r.id_owners.select("record_id").distinct().count()
-    pairs = r.id_owners.groupBy("vid").agg(F.count("*").alias("c")).agg(F.coalesce(F.sum(F.col("c") * (F.col("c") - 1.0)), F.lit(0.0))).first()[0]
-    return min(0.5, pairs / max(1.0, n * (n - 1.0)))
+    differing = sum(k for (_, ident, birth), k in counts if ident == TOP_ID and birth == 0)
+    return min(0.5, (differing + 0.5) / max(1.0, n * (n - 1.0) / 2))
 
 
 TOP_NAME, TOP_ID = len(NAME_STEPS), len(ID_STEPS)
@@ -281,7 +282,7 @@ def matched(entities: DataFrame, least: float = 0.5) -> DataFrame:
     pairs = written(scored_pairs(r, copies.where("record_id = first").select("record_id")))
     levels = ["name_level", "id_level", "birth_level"]
     counts = [((x.name_level, x.id_level, x.birth_level), x.n) for x in pairs.groupBy(*levels).agg(F.count("*").alias("n")).collect()]  # at most 7 * 5 * 4 patterns
-    chance = calibrated(counts, chance={1: (TOP_ID, same_id_by_chance(r))})
+    chance = calibrated(counts, chance={1: (TOP_ID, same_id_by_chance(r, counts))})
     spark = entities.sparkSession
     scale = spark.createDataFrame([(*p, float(chance(p))) for p, _ in counts], "name_level int, id_level int, birth_level int, confidence double")
     same = [pairs[c].eqNullSafe(scale[c]) for c in levels]

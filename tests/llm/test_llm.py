@@ -52,6 +52,42 @@ def test_spellings(spark):
     assert spellings.linked_items(items.drop("record_id"), held.limit(0)).count() == 0
 
 
+def test_equal_names_are_linked_first(spark):
+    """Names with initials, one-word names of ships and firms, and exact strings; different initials never meet; one word of a person names nobody."""
+    held = entities(
+        spark, {"record_id": 1, "name": "John A. Smithson"}, {"record_id": 2, "name": "John B. Smithson"}, {"record_id": 3, "name": "Pegas"}, {"record_id": 4, "name": "M/V Condor", "entity_type": "VESSEL"}, {"record_id": 5, "name": "Solgrim", "entity_type": "PERSON"},
+        {"record_id": 6, "name": "Карлов Сова ОАО"}, {"record_id": 7, "name": "J. Q. Tolvander"},
+    )
+    names = {1: "John A. Smithson", 2: "Pegas", 3: "MV Condor", 4: "Solgrim", 5: "SMITHSON, John B.", 6: "john a smithsonn", 7: "J Q Tolvander"}
+    typed = spark.createDataFrame(list(names.items()), "item_id long, name string")
+    assert {(r.item_id, r.record_id) for r in spellings.linked_items(typed, held).collect()} == {(1, 1), (2, 3), (3, 4), (5, 2), (6, 1), (7, 7)}
+
+
+def test_assignment():
+    rng = random.Random(1)
+    for _ in range(200):
+        n = rng.randint(1, 5)
+        m = rng.randint(n, 6)
+        cost = [[rng.randint(0, 9) for _ in range(m)] for _ in range(n)]
+        total, at = spellings.assignment(cost)
+        assert total == min(sum(cost[i][p[i]] for i in range(n)) for p in itertools.permutations(range(m), n)) == sum(cost[i][at[i]] for i in range(n)) and len(set(at)) == n
+
+
+def test_long_and_hot_names(spark):
+    """Names of fifteen words, and a third of all names that share two words, in bounded time."""
+    import time
+
+    words = [a + b + "olk" for a in "bdgklmnprstvz" for b in ("are", "ili", "osu")]
+    rng = random.Random(5)
+    long = [" ".join(rng.sample(words, 15)) for _ in range(40)]
+    hot = [f"Bankomar Selvaton {x}{y}k" for x in words for y in ("tuv", "zem", "pri", "lon", "gask", "hort")]
+    rows = [{"record_id": i, "name": n} for i, n in enumerate([*long, *hot])]
+    typed = spark.createDataFrame([(i, " ".join(reversed(n.split()))) for i, n in enumerate(long)] + [(1000 + i, hot[i].upper()) for i in range(0, len(hot), 7)], "item_id long, name string")
+    began = time.time()
+    got = {(r.item_id, r.record_id) for r in spellings.linked_items(typed, entities(spark, *rows)).collect()}
+    assert {(i, i) for i in range(40)} <= got and {(1000 + i, 40 + i) for i in range(0, len(hot), 7)} <= got and time.time() - began < 400
+
+
 def test_merged_profiles_match_what_no_member_does(spark):
     """Two spellings, each two edits from the typed name, meet it together."""
     held = entities(spark, {"record_id": 1, "name": "Karvendol Stumigrat"}, {"record_id": 2, "name": "Karvemdok Stumigrat"}, {"record_id": 3, "name": "Karvendol Stumikrad"})
@@ -142,9 +178,24 @@ def test_currency_without_timestamps(spark):
     rows += [{"record_id": 900, "source_list": "A", "source_id": "open", "remarks": "x" * 40}, {"record_id": 901, "source_list": "A", "source_id": "open", "remarks": "y", "updated_at": t(5)}, {"record_id": 902, "source_list": "A", "source_id": "open", "remarks": ""}]
     got = {r.group_record_id: r.remarks_record_id for r in survivors.entity_survivors(entities(spark, *rows)).collect()}
     assert got[900] == 900 and got[1] == 2
+    # where every time is known the order is that of the times; many states in bounded time
+    assert survivors.topologically_latest([3, 1, 2], [(0,)] * 3, ["f"], {}, [True] * 3, [1, 9, 9], [1, 2, 3]) == 0
+    rng = random.Random(3)
+    n = 400
+    many = [(rng.randrange(6), rng.randrange(6)) for _ in range(n)]
+    up = {(f, u, v): 1.0 + v - u for f in ("f", "g") for u in range(6) for v in range(u + 1, 6)}
+    best = survivors.topologically_latest([rng.random() if rng.random() < 0.5 else None for _ in range(n)], many, ["f", "g"], up, [True] * n, [1] * n, list(range(n)))
+    assert best is not None
     assert survivors.topologically_latest([1, 2, None], [(0,), (1,), (2,)], ["f"], {("f", 1, 2): 1.0, ("f", 2, 0): 0.5}, [True] * 3, [1, 1, 1], [1, 2, 3]) == 2
 
 
+def test_masked_agreement(spark):
+    t = lambda d: dt.datetime(2024, 1, d)
+    rows = [{"record_id": 2 * g + (d > 1), "source_list": "A", "source_id": f"g{g}", "remarks": text, "updated_at": t(d)} for g in range(60) for d, text in ((1, "x"), (9, "x" * 40))]
+    r = {x.field: x for x in survivors.masked_agreement(entities(spark, *rows)).collect()}
+    assert r["remarks"].groups > 20 and r["remarks"].recall > 0.95
+
+
 # ---- addresses
 
 
@@ -161,6 +212,16 @@ def test_addresses(spark):
     assert addresses.same_building(df.limit(0)).count() == 0
 
 
+def test_address_forms(spark):
+    """line2, countries under any name, ranges of numbers, abbreviations; a country that names none contradicts nothing."""
+    rows = [
+        (1, "", "12 Main Street", "London", None, None, "USA"), (2, "12 Main St", None, "London", None, None, "United States"), (3, "Flat 3", "12 main street", "London", None, None, "us"), (4, "12 Main Street", None, "London", None, None, "Canada"), (5, "12 Main Street", None, "London", None, None, "Uniteed Sttes"),
+        (6, "Via Roma 7", None, "Milano", None, None, "IT"), (7, "7 via roma", None, "milano", None, None, "Italy"), (8, "9 St Helena Road", None, "Dover", None, None, None), (9, "9 Saint Helena Rd", None, "Dover", None, None, None), (10, "20-22 Kolmar Lane", None, "Perth", None, None, None), (11, "22 Kolmar Ln", None, "Perth", None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "address_id long, line1 string, line2 string, city string, state string, postal_code string, country string")
+    assert {tuple(r) for r in addresses.same_building(df).collect()} == {(1, 2), (1, 3), (2, 3), (1, 5), (2, 5), (3, 5), (4, 5), (6, 7), (8, 9), (10, 11)}
+
+
 # ---- matching
 
 
@@ -204,8 +265,11 @@ def test_matching(spark):
 
 def test_calibration():
     post = matching.calibrated([((3, 2, 2), 500), ((3, None, 2), 300), ((3, 0, 0), 60), ((1, 0, 0), 400), ((1, None, 0), 200), ((3, None, None), 100)])
-    assert post[3, 2, 2] > 0.99 > post[1, 0, 0] and post[1, 0, 0] < 0.1 and matching.calibrated([]) == {}
-    assert matching.bare_id("No. AB-12/345 6") == "ab123456" and matching.bare_id("UNKNOWN") == "" and matching.bare_id("000000000") == ""
+    assert post((3, 2, 2)) > 0.99 > post((1, 0, 0)) and post((1, 0, 0)) < 0.1 and 0 <= matching.calibrated([])((1, 1, None)) <= 1
+    # an identifier that two rows hardly ever share by chance speaks for itself, whatever the names say
+    alone = [((3, 2, 2), 50), ((0, 2, None), 40), ((2, 0, 0), 400), ((1, 0, None), 300)]
+    assert matching.calibrated(alone, chance={1: (2, 1e-6)})((0, 2, None)) > 0.9
+    assert matching.bare_id("No. AB-12/345 6") == "ab123456" and matching.bare_id("AB 12") == "ab12" and matching.bare_id("UNKNOWN") == "" and matching.bare_id("000000000") == ""
 
 
 # ---- packing
