@@ -54,12 +54,17 @@ def digits(c: Column) -> Column:
 
 def without_stopwords(c: Column, language: Column | str = "en") -> Column:
     """Words that are no stopwords of the language; an unknown language reads as English."""
+    kept = lambda w, k: ~F.lower(w).isin(W.STOPWORDS.get(k, W.STOPWORDS["en"]).split())  # noqa: E731  # one look-up in a hash set a word
     if isinstance(language, str):
-        chosen = F.array(*[F.lit(w) for w in W.STOPWORDS.get(language, W.STOPWORDS["en"]).split()])
-    else:  # a constant map, folded once
-        lists = F.create_map(*[x for k, v in W.STOPWORDS.items() for x in (F.lit(k), F.array(*[F.lit(w) for w in v.split()]))])
-        chosen = F.coalesce(lists[language], lists[F.lit("en")])
-    return F.array_join(F.filter(tokens(c), lambda w: ~F.array_contains(chosen, F.lower(w))), " ")
+        return F.array_join(F.filter(tokens(c), lambda w: kept(w, language)), " ")
+
+    def test(w: Column) -> Column:
+        out = None
+        for k in W.STOPWORDS:
+            out = F.when(language == k, kept(w, k)) if out is None else out.when(language == k, kept(w, k))
+        return out.otherwise(kept(w, "en"))
+
+    return F.array_join(F.filter(tokens(c), test), " ")
 
 
 def language_guess(c: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
-# Cyrillic and Greek letters whose usual glyph is that of a Latin letter of the same case.
+# Letters of other scripts whose usual glyph is that of a Latin letter of the same case.
 LOOK_LATIN = {
     # Cyrillic capitals
     "А": "A", "В": "B", "С": "C", "Е": "E", "Н": "H", "І": "I", "Ј": "J", "К": "K", "М": "M", "О": "O", "Р": "P", "Ѕ": "S", "Т": "T", "Х": "X", "У": "Y", "Ԛ": "Q", "Ԝ": "W",
@@ -18,6 +18,12 @@ LOOK_LATIN = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
     # Greek small letters
     "ο": "o", "ν": "v", "ϳ": "j", "ρ": "p",
+    # Armenian
+    "Օ": "O", "օ": "o", "Տ": "S", "հ": "h", "ց": "g", "ո": "n", "ս": "u",
+    # Cherokee
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮓ": "Z", "Ꮪ": "S", "Ꮩ": "V", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
+    # further Cyrillic
+    "Ү": "Y", "ѵ": "v", "Ѵ": "V",
 }
 # Characters that have no width of their own and can be ignored.
 IGNORABLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ]")

@@ -291,13 +291,6 @@ def prepared_fields(spark: SparkSession, folder: str) -> DataFrame:
     return e.select("record_id", p["name"].alias("name"), F.array_join(p["alt_names"], "|").alias("alt_names"), F.array_join(p["word_forms"], "|").alias("word_forms"), F.array_join(p["without_company_titles"], "|").alias("without_company_titles"), F.array_join(p["addresses"], "|").alias("addresses"), p["language"].alias("language"))
 
 
-def _as_index(e: DataFrame) -> DataFrame:
-    from ..schema import part
-
-    born = part("person", name=F.col("name"), birth_date=F.col("birth_date"), government_ids=F.col("government_ids"))
-    return as_entities(e, index_pos=F.col("record_id"), id=F.col("record_id").cast("string"), name=F.col("name"), entity_type=F.upper("entity_type"), source=F.col("source_list"), person=born, addresses=F.col("addresses"), alt_names=F.col("alt_names"), government_ids=F.col("government_ids"), remarks=F.col("remarks"))
-
-
 _TOK = "list_filter(string_split({x}, ' '), lambda w: w <> '')"
 _TITLES = "|".join(t.replace(" ", "\\s") for t in W.COMPANY_TITLES)
 _EXP = {w: full for w, full in W.TITLE_WORDS.items()}
