@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -101,6 +102,13 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         _delete(spark, mine)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets go of the shuffles, broadcasts and plans that nothing reads any more; iterative operators call it once a round, since files of shuffles
+    and memory of the driver are otherwise kept until its garbage happens to be collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def release(spark: SparkSession) -> int:
     """Deletes the tables that this application wrote to the shared folder, once all results that read them are consumed."""
     paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
