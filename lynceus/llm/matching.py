@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table, written
+from ..session import table, tidy, written
 from .namekit import read, sound
 from .one_form import names_of
 from .spellings import components
@@ -300,6 +300,7 @@ def matched(entities: DataFrame, least: float = 0.5) -> DataFrame:
     one = written(components(rows.select("record_id"), strong, "record_id"))
     # by a name alone: groups of entities that share a name and hold no contradiction become one; equal names before near ones, so a
     # contradiction among near names leaves the groups of equal names as they are
+    tidy(spark)
     entity = one.withColumnRenamed("root", "entity")
     loose = written(judged.where("kind <> 'strong'").select("a", "b", "kind", F.col("name_level").cast("int").alias("level")).union(judged_copies.select("a", "b", "kind", F.lit(TOP_NAME).alias("level"))))
     for lowest in (TOP_NAME, 1):
