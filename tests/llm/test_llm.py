@@ -73,8 +73,9 @@ def test_assignment():
         assert total == min(sum(cost[i][p[i]] for i in range(n)) for p in itertools.permutations(range(m), n)) == sum(cost[i][at[i]] for i in range(n)) and len(set(at)) == n
 
 
-def test_long_and_hot_names(spark):
-    """Names of fifteen words, and a third of all names that share two words, in bounded time."""
+def test_long_and_hot_names(spark, monkeypatch):
+    """Names of fifteen words, and most names sharing two words, in bounded time; hot keys lose no pair."""
+    monkeypatch.setattr(spellings, "HOT_NAMES", 20)
     import time
 
     words = [a + b + "olk" for a in "bdgklmnprstvz" for b in ("are", "ili", "osu")]
