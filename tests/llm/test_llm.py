@@ -89,6 +89,18 @@ def test_long_and_hot_names(spark, monkeypatch):
     assert {(i, i) for i in range(40)} <= got and {(1000 + i, 40 + i) for i in range(0, len(hot), 7)} <= got and time.time() - began < 400
 
 
+def test_hot_keys_change_no_result(spark, monkeypatch):
+    """Two words are equal and the third is two edits away at both ends, so that only the key of the two words holds the names together."""
+    held = entities(spark, *[{"record_id": k, "name": f"Kartuvin Solgamer {w}"} for k, w in enumerate(("Debrunigat", "Vomeltask", "Pirnolek", "Hastugem"))], {"record_id": 9, "name": "Vladimir Solgamer Debrunigat"})
+    typed = spark.createDataFrame([(1, "Kartuvin Solgamer Tebrunigal"), (2, "Wova Solgamer Tebrunigal"), (3, "Vova Solgamer Tebrunigal")], "item_id long, name string")
+    assert spellings.word_distance("debrunigat", "tebrunigal") == 2
+    got = []
+    for hot in (1000, 1):
+        monkeypatch.setattr(spellings, "HOT_NAMES", hot)
+        got.append({(r.item_id, r.record_id) for r in spellings.linked_items(typed, held).collect()})
+    assert got[0] == got[1] and got[0] >= {(1, 0), (3, 9)}
+
+
 def test_merged_profiles_match_what_no_member_does(spark):
     """Two spellings, each two edits from the typed name, meet it together."""
     held = entities(spark, {"record_id": 1, "name": "Karvendol Stumigrat"}, {"record_id": 2, "name": "Karvemdok Stumigrat"}, {"record_id": 3, "name": "Karvendol Stumikrad"})
