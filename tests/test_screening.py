@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -49,6 +50,36 @@ def test_blocks_give_the_same(spark):
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, search.name_scores(asked, names, 0.7).collect()))
 
 
+def test_words_are_compared_before_names(monkeypatch):
+    """Names are settled many at once: none is compared alone, and few are left to score."""
+    asked, names = [f"mar{x}in {y}olk" for x in "abdegk" for y in "stuvwz"], [f"{y}erim {x}andol" for x in "abdegk" for y in "stuvwz"] + ["marain solk"]
+    alone = []
+    jaro = S.jaro
+    monkeypatch.setattr(S, "jaro", lambda a, b: alone.append(1) or jaro(a, b))
+    kept = list(search.Block([(i, n, None, None) for i, n in enumerate(asked)], DEFAULT, 0.8).pairs(names))
+    assert not alone and (asked.index("marain solk"), len(names) - 1) in kept
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("abcdé ", max_size=12) | st.sampled_from(["ab" * 60, "a" * 90]), min_size=1, max_size=8))
+def test_jaro_of_many_pairs(texts):
+    signs = search.Signs(texts)
+    x, y = np.divmod(np.arange(len(texts) ** 2), len(texts))
+    assert search.jaros(signs, signs, x, y).tolist() == [S.jaro(texts[i], texts[j]) for i, j in zip(x, y, strict=True)]
+
+
+def test_cells_keep_what_the_best_need(spark):
+    """A batch without a threshold keeps no more rows than it can answer with, and gives the same."""
+    index = entities(spark, [(f"{a} {b}", [f"{b} {a}"]) for a in "abcdef" for b in "ghijkl"])
+    asked = spark.createDataFrame([(i, x, None, None) for i, x in enumerate(["a g", "c", "b h k"])], "q long, text string, source_f string, type_f string")
+    names = search.index_names(index)
+    same = lambda a, b, _: (ord(b[0]) % 3) / 2
+    rows = [sorted(map(tuple, search.name_scores(asked, names, 0.0, scorer=same, most=k).collect()), key=lambda r: (r[0], -r[2], r[1])) for k in (None, 2)]
+    assert len(rows[1]) < len(rows[0]) == 3 * 36
+    best = lambda r: [[x for x in r if x[0] == q][:2] for q in range(3)]
+    assert best(rows[0]) == best(rows[1])
+
+
 def test_breakdown_and_texts(spark):
     index = entities(spark, [("john smith", ["jack"]), ("mary jones", [])])
     wide = index.select(F.struct(*index.columns).alias("e"))
