@@ -38,3 +38,8 @@ def test_a_cluster_needs_a_shared_folder():
     with pytest.raises(ValueError):
         S.shared_folder(Session())
     assert all(S.LOCAL_MASTER.fullmatch(x) for x in ("local", "local[4]", "local-cluster[3,2,1024]")) and not S.LOCAL_MASTER.fullmatch("yarn")
+
+
+def test_freed_memory_goes_back_to_the_system(spark):
+    S.tidy(spark)
+    assert "Trim native heap" in S.trimmed(spark)
