@@ -117,6 +117,63 @@ def test_a_dropped_letter_that_makes_equal_letters_meet(spark):
     assert spellings.word_distance("meebrur", "mezebrur") == 1 and spellings.word_distance("gaapes", "gavapes") == 1 and spellings.word_distance("lee", "lea") == 9
 
 
+def test_words_without_letters_in_common_cost_no_edits(monkeypatch):
+    """Most words of a candidate pair are unlike; their letters alone tell them apart, and the nearest slots need no augmenting paths."""
+    asked = []
+    real = spellings.edits
+    monkeypatch.setattr(spellings, "edits", lambda a, b: asked.append((a, b)) or real(a, b))
+    slots = [["kloveda"], ["vlegribi"], ["drusakre", "druzakre"]]
+    assert spellings.slot_distance(["drusakrre", "vlegribi", "klovedo"], slots) == 1
+    assert all(len(set(a) - set(b)) <= 2 and len(set(b) - set(a)) <= 2 for a, b in asked) and asked
+    assert spellings.word_distance("kloveda", "gromistun") == 9 and ("kloveda", "gromistun") not in asked
+
+
+def test_names_run_together(spark):
+    """Against brute force: up to three edits anywhere, in either order of the words, one word on a side or on neither."""
+    rng = random.Random(5)
+    whole = ["".join(rng.choice("bdgklmnrstv") + rng.choice("aeiou") for _ in range(rng.randint(4, 8))) for _ in range(25)]
+
+    def edited(w):
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(w))
+            w = rng.choice((w[:k] + w[k + 1 :], w[:k] + rng.choice("aeklrst") + w[k:], w[:k] + rng.choice("aeklrst") + w[k + 1 :]))
+        return w
+
+    def split(w):
+        k = rng.randint(2, len(w) - 2)
+        return rng.choice((f"{w[:k]} {w[k:]}", f"{w[k:]} {w[:k]}"))
+
+    names = [[f(edited(w)) for w in whole for f in (str, split, split)] for _ in range(2)]
+    asked, listed = (spellings.forms_of(spark.createDataFrame([(n,) for n in side], "name string")).dropDuplicates(["form"]).persist() for side in names)
+    got = {(r.form, r.id, r.d) for r in spellings.attach_joined(asked, listed, listed.select("form", F.col("form").alias("id"))).collect()}
+
+    def spelled(r):
+        out = set()
+        for tag, words in (("written", r.words), ("sounded", sorted(r.sounds))):
+            for w in (words[0] + words[1], words[1] + words[0]) if len(words) == 2 else ("".join(words),):
+                if len(w) >= spellings.JOINED_FROM:
+                    out.add((tag, namekit.DOUBLED.sub(r"\1", w) if tag == "sounded" else w))
+        return out
+
+    def levenshtein(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    want = set()
+    held = [(r, spelled(r)) for r in listed.collect()]
+    for a in asked.collect():
+        for b, there in held:
+            if (len(a.words) == 1 or len(b.words) == 1) and (a.kind, a.trade) == (b.kind, b.trade):
+                met = [levenshtein(x, y) for s, x in spelled(a) for t, y in there if s == t and (x[:5] == y[:5] or x[-5:] == y[-5:])]
+                if met and min(met) <= 2:
+                    want.add((a.form, b.form, min(met)))
+    assert got == want and len(want) > 20 and {d for _, _, d in want} == {0, 1, 2}
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("abcd", max_size=8), st.text("abcd", max_size=8))
 def test_edits(a, b):
