@@ -60,6 +60,18 @@ def test_words_are_compared_before_names(monkeypatch):
     assert not alone and (asked.index("marain solk"), len(names) - 1) in kept
 
 
+def test_only_names_that_reach_are_scored():
+    """Names with a frequent word in common are settled many at once; those that are left to score reach the threshold."""
+    start = ["kos", "mar", "vel", "dru", "pit", "zan"]
+    asked = [f"{a}{b}en {c}ak limited" for a in start for b in "lnrt" for c in start] + ["ab cd", "the limited"]
+    names = [f"{c}{b}ik {a}or limited" for a in start for b in "lnrt" for c in start] + ["ba dc", "koslen velak limited", "of limited"]
+    for config, least in ((DEFAULT, 0.8), (DEFAULT, 0.88), (ZERO, 0.88)):
+        kept = list(search.Block([(i, n, None, None) for i, n in enumerate(asked)], config, least).pairs(names))
+        scores = {(i, j): S.read_name_score(a, b, config) for j, b in enumerate(names) for i, a in enumerate(asked)}
+        want = {k for k, v in scores.items() if v >= least}
+        assert want <= set(kept) and len(kept) == len(set(kept)) and min(scores[k] for k in kept) >= least - 2e-6 and want
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text("abcdé ", max_size=12) | st.sampled_from(["ab" * 60, "a" * 90]), min_size=1, max_size=8))
 def test_jaro_of_many_pairs(texts):
