@@ -92,6 +92,32 @@ def test_cells_keep_what_the_best_need(spark):
     assert best(rows[0]) == best(rows[1])
 
 
+def test_scorers_that_say_their_top_end_early(spark):
+    """A scorer that says which names fail, and what the greatest score is, sees few pairs; rows are those of one that doesn't say it."""
+    index = entities(spark, [(f"{a} {b}", [f"{b} {a}"]) for a in "abcdef" for b in "ghijkl"]).withColumn("source", F.when(F.col("index_pos") % 5 == 4, "EU_CSL").otherwise("US_OFAC"))
+    asked = spark.createDataFrame([(0, "a g x", None, None), (1, "c", "EU_CSL", None), (2, "b h", None, None), (3, "d", "UK_CSL", None)], "q long, text string, source_f string, type_f string")
+
+    def ready(a, _):
+        if len(a.split()) == 2:
+            raise ValueError("two words")
+
+    def plainly(a, b, config):
+        ready(a, config)
+        return 0.5 if ord(b[0]) % 3 else 1.0
+
+    def said(a, b, config):
+        return plainly(a, b, config)
+
+    said.ready, said.top = ready, 1.0
+    best, seen = [], []
+    for scorer in (plainly, said):
+        seen.append(spark.sparkContext.accumulator(0))
+        rows = search.name_scores(asked, search.index_names(index), 0.0, scorer=scorer, tally=seen[-1], most=2).collect()
+        best.append([sorted((-r.score, r.index_pos) for r in rows if r.q == q and r.error is None)[:2] for q in range(4)] + [{(r.q, r.error) for r in rows if r.error}])
+    assert best[0] == best[1] and best[1][4] == {(2, "two words")} and [len(x) for x in best[1][:4]] == [2, 2, 0, 0]
+    assert seen[1].value < seen[0].value / 2
+
+
 def test_breakdown_and_texts(spark):
     index = entities(spark, [("john smith", ["jack"]), ("mary jones", [])])
     wide = index.select(F.struct(*index.columns).alias("e"))
