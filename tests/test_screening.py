@@ -118,6 +118,37 @@ def test_scorers_that_say_their_top_end_early(spark):
     assert seen[1].value < seen[0].value / 2
 
 
+def test_addresses_say_what_names_need(spark, monkeypatch):
+    """With one address for all names, entities whose addresses are too far from it are not screened, and rows are those of every pair."""
+    from lynceus.operators import trace
+
+    where = [["minsk lenina"], ["oslo"], None, [], ["zz qq", "minsk"], ["xx"]]
+    names = [f"{a}{b}" for a in ("ivan", "yvan", "petr") for b in (" smith", " smyth", "")]
+    rows = [(k, n, x) for k, (n, x) in enumerate((n, x) for n in names for x in where)]
+    place = "array<struct<line1:string,line2:string,city:string,state:string,postal_code:string,country:string>>"
+    df = spark.createDataFrame([(k, n, None if x is None else [(None, None, c, None, None, None) for c in x]) for k, n, x in rows], f"pos long, n string, a {place}")
+    index = as_entities(df, index_pos=F.col("pos"), id=F.col("pos").cast("string"), name=F.col("n"), entity_type=F.lit("PERSON"), source=F.lit("US_OFAC"), addresses=F.col("a"))
+    people = [f"{a} {b}" for a in ("ivan", "ivam", "petra", "olga", "yvan", "iwan", "pjotr") for b in ("smith", "smit", "jones", "smyth", "miller", "smiht")]
+    asked = spark.createDataFrame([(i, n, "Minsk" if i else " ", None, None) for i, n in enumerate(people)], "item_pos long, name string, address string, source_f string, type_f string")
+    screened, scores = set(), search.name_scores
+
+    def seen(asked, held, *args, **more):
+        screened.update(r.index_pos for r in held.collect() if asked.count() > 1)
+        return scores(asked, held, *args, **more)
+
+    monkeypatch.setattr(search, "name_scores", seen)
+    got = {(r.item_pos, r.index_pos): r.score for r in trace.address_screen(asked, index, 0.8, 1000).collect()}
+    want = {}
+    for i, a in enumerate(people):
+        for k, n, x in rows:
+            name = S.name_score(a, n)
+            s = name if x is None or not i else (35 * name + 25 * max((S.name_score("minsk", c) for c in x), default=0.0)) / 60
+            if s >= 0.8:
+                want[i, k] = s
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want) and want
+    assert screened and not screened & {k for k, _, x in rows if x in (["xx"], [])}
+
+
 def test_breakdown_and_texts(spark):
     index = entities(spark, [("john smith", ["jack"]), ("mary jones", [])])
     wide = index.select(F.struct(*index.columns).alias("e"))
